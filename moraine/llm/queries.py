@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import common, language, packing, pieces, secrets, sharding, token_count
+from moraine.llm import blocks, common, kdtree, language, packing, pieces, secrets, sharding, tiles, token_count
 
 
 def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op2_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, kdtree.top_inner_products, "long")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -38,7 +42,11 @@ def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.limit(0) if stored is None else stored).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op3_sentencepiece, op5_language_id, op6_token_counts, op7_secret_scan, op8_tiered_shards)}
+def op9_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, tiles.top_products, "double", nonzero=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_kdtree_topk, op3_sentencepiece, op5_language_id, op6_token_counts, op7_secret_scan, op8_tiered_shards, op9_block_join)}
 
 _RANDOM_MIX = "regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]')"
 
@@ -54,7 +62,19 @@ def _spans_sql(kind: int, pattern: str, value: str, keep: str) -> str:
 _ASSIGNED = f"regexp_extract(m, '{secrets.ASSIGN.replace(chr(39), chr(39) * 2)}', 2)"
 _NAMES = "['assign', 'access', 'hex', 'random'][kind + 1]"
 
+
+
+def _nearest_sql(vector: str, every: int, k: int, usable: str) -> str:
+    return f"""
+with v as (select row_number() over () as r, vec_id, {vector} as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 {usable}),
+p as (select q.vec_id as query_id, q.r, c.vec_id, {{score}} as score from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % {every} = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id, r order by score desc, vec_id) as rank from p) where rank <= {k}"""
+
+
 ORACLE_SQL = {
+    "op2_kdtree_topk": _nearest_sql("list_transform(embedding, lambda x: floor(256 * x::double))", 50, 5, "").format(score="list_inner_product(q.e, c.e)::bigint"),
+    "op9_block_join": _nearest_sql("embedding::double[]", 20, 20, "and len(list_filter(embedding, lambda x: x <> 0)) > 0").format(score="list_inner_product(q.e, c.e)"),
     "op7_secret_scan": f"""
 with base as (
   {_spans_sql(0, secrets.ASSIGN, _ASSIGNED, f"length({_ASSIGNED}) >= 12")}
