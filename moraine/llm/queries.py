@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm import blocks, common, kdtree, language, packing, pieces, secrets, sharding, tiles, token_count
+from moraine.llm import blocks, common, kdtree, language, near_dedup, packing, pieces, secrets, sharding, substring_dedup, tiles, token_count
 
 
 def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(common.table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -46,7 +50,13 @@ def op9_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, tiles.top_products, "double", nonzero=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_kdtree_topk, op3_sentencepiece, op5_language_id, op6_token_counts, op7_secret_scan, op8_tiered_shards, op9_block_join)}
+def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_spans(common.table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return found.select("doc_id", "n_spans", "n_chars", spans.alias("spans"), "first_docs")
+
+
+QUERIES = {f.__name__: f for f in (op1_pattern_packing, op2_kdtree_topk, op3_sentencepiece, op4_minmax_dedup, op5_language_id, op6_token_counts, op7_secret_scan, op8_tiered_shards, op9_block_join, op10_gear_chunks)}
 
 _RANDOM_MIX = "regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]')"
 
@@ -72,7 +82,18 @@ p as (select q.vec_id as query_id, q.r, c.vec_id, {{score}} as score from v q jo
 select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id, r order by score desc, vec_id) as rank from p) where rank <= {k}"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 ORACLE_SQL = {
+    "op4_minmax_dedup": f"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh from words),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select a.doc_id as x, b.doc_id as y from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 85 * ((select n from n where doc_id = a.doc_id) + (select n from n where doc_id = b.doc_id) - count(*))),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, y from reach join links on x = r)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join (select doc_id, min(r) as component_id from reach group by doc_id) c on c.doc_id = d.doc_id""",
     "op2_kdtree_topk": _nearest_sql("list_transform(embedding, lambda x: floor(256 * x::double))", 50, 5, "").format(score="list_inner_product(q.e, c.e)::bigint"),
     "op9_block_join": _nearest_sql("embedding::double[]", 20, 20, "and len(list_filter(embedding, lambda x: x <> 0)) > 0").format(score="list_inner_product(q.e, c.e)"),
     "op7_secret_scan": f"""
