@@ -1,4 +1,231 @@
-"""All queries of the versioned key/value engine and the SQL that they are held against."""
+"""All queries of the versioned key/value engine and the SQL that they are held against.
 
-QUERIES: dict = {}
+`frame` registers a query built by the operators; `text` one SQL text that both engines run, each in its dialect.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moraine.functions import codecs
+from moraine.operators import log, transactions, values
+from moraine.sources import records
+from moraine.streaming import feeds
+from moraine.views import duckdb_sql, spark_sql, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def frame(name: str, build: Callable[..., DataFrame], sql: str | None, *views: str) -> None:
+    """build gets the named views as DataFrames."""
+    QUERIES[name] = lambda spark, sf_dir: build(*[view(spark, sf_dir, v) for v in views])
+    if sql:
+        ORACLE_SQL[name] = duckdb_sql(sql)
+
+
+def text(name: str, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: spark.sql(spark_sql(sql, sf_dir))
+    ORACLE_SQL[name] = duckdb_sql(sql)
+
+
+LIVE = "select k, v, ts, meta from latest where meta % 2 = 0"
+KEY, FIRST, LAST, PREFIX = "user:000012:click", "user:000010:", "user:000020:", "user:00001"
+ASKED = "select concat('user:', lpad(cast(c_custkey as {S}), 6, '0'), ':click') as k from customer"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(spark_sql(ASKED, sf_dir))
+
+
+def against_asked(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(view(spark, sf_dir, "kv_log"), asked(spark, sf_dir))
+
+
+# Point, multi-point and existence reads
+frame("latest_per_key", log.live, LIVE, "kv_log")
+frame("snapshot_asof", lambda t: log.as_of(t, 5000), "select * from (select k, max_by(v, ts) as v, max(ts) as ts, max_by(meta, ts) as meta from kv_log where ts <= 5000 group by k) x where meta % 2 = 0", "kv_log")
+frame("point_get", lambda t: log.point_get(t, KEY), f"select * from ({LIVE}) x where k = '{KEY}'", "kv_log")
+QUERIES["multi_get"] = against_asked(log.multi_get)
+ORACLE_SQL["multi_get"] = duckdb_sql(f"select a.k, l.v, l.ts from ({ASKED}) a left join ({LIVE}) l on a.k = l.k")
+QUERIES["missing_keys"] = against_asked(log.missing)
+ORACLE_SQL["missing_keys"] = duckdb_sql(f"select a.k from ({ASKED}) a where a.k not in (select k from ({LIVE}) l)")
+QUERIES["existing_keys"] = against_asked(log.existing)
+ORACLE_SQL["existing_keys"] = duckdb_sql(f"select a.k from ({ASKED}) a where a.k in (select k from ({LIVE}) l)")
+WRITES = "select k, max_by(v, op_seq) as v, cast(max_by(case when cast(v as double) > 90 then 1 else 0 end, op_seq) as int) as meta from txn_ops where txn_id = 700 and op = 'w' group by k"
+SNAPSHOT = "select k, v from (select k, max_by(v, ts) as v, max_by(meta, ts) as meta from kv_log where ts <= 5000 group by k) x where meta % 2 = 0"
+OVERLAY = f"select k, v from ({SNAPSHOT}) s where k not in (select k from ({WRITES}) w) union all select k, v from ({WRITES}) w2 where meta % 2 = 0"
+
+
+def own_view(t: DataFrame, ops: DataFrame) -> DataFrame:
+    writes = ops.where("txn_id = 700 and op = 'w'").groupBy("k").agg(F.max_by("v", "op_seq").alias("v"), F.max_by(F.when(F.col("v").cast("double") > 90, 1).otherwise(0), "op_seq").alias("meta"))
+    return log.overlay(log.as_of(t, 5000), writes)
+
+
+frame("txn_scan_overlay", own_view, OVERLAY, "kv_log", "txn_ops")
+frame("txn_get_overlay", lambda t, o: own_view(t, o).join(o.where("txn_id = 700").select("k").distinct(), "k", "left_semi"), f"select k, v from ({OVERLAY}) x where k in (select k from txn_ops where txn_id = 700)", "kv_log", "txn_ops")
+frame("level_lookup", lambda r: log.latest(r).select("k", "v", "ts", (3 - F.col("run_id")).alias("level")), "select k, max_by(v, ts) as v, max(ts) as ts, 3 - max_by(run_id, ts) as level from kv_runs group by k", "kv_runs")
+text("candidate_files", f"select file_id, level from sst_files where smallest_key <= '{KEY}' and largest_key >= '{KEY}'")
+frame("block_floor_lookup", lambda f, b: log.floor_lookup(f.select("file_id", F.col("largest_key").alias("k")), b), "select f.file_id, f.largest_key as k, max_by(b.block_no, b.block_no) as block_no from sst_files f join blocks b on f.file_id = b.file_id and b.first_key <= f.largest_key group by f.file_id, f.largest_key", "sst_files", "blocks")
+text("block_range_lookup", f"select file_id, block_no from blocks where first_key <= '{KEY}' and last_key >= '{KEY}'")
+text("txn_last_write", "select txn_id, k, max_by(v, op_seq) as v, max(op_seq) as op_seq from txn_ops where op = 'w' group by txn_id, k")
+
+# Scans, sources and sinks
+frame("full_scan_live", lambda t: log.scan(t).select("k", "v"), f"select k, v from ({LIVE}) x", "kv_log")
+frame("seek_ge_limit", lambda t: log.scan(t, FIRST, limit=25), f"select * from ({LIVE}) x where k >= '{FIRST}' order by k limit 25", "kv_log")
+frame("range_scan", lambda t: log.scan(t, FIRST, LAST), f"select * from ({LIVE}) x where k >= '{FIRST}' and k < '{LAST}'", "kv_log")
+frame("range_scan_reverse", lambda t: log.scan(t, FIRST, LAST, reverse=True, limit=7), f"select * from ({LIVE}) x where k >= '{FIRST}' and k < '{LAST}' order by k desc limit 7", "kv_log")
+frame("scan_open_start", lambda t: log.scan(t, None, LAST), f"select * from ({LIVE}) x where k < '{LAST}'", "kv_log")
+frame("scan_open_end", lambda t: log.scan(t, LAST, None), f"select * from ({LIVE}) x where k >= '{LAST}'", "kv_log")
+frame("index_range_count", lambda t: log.search_range(t, FIRST, LAST), f"select count(*) filter (where k < '{FIRST}') as start_pos, count(*) filter (where k <= '{LAST}') as stop_pos, count(*) filter (where k >= '{FIRST}' and k <= '{LAST}') as n from (select distinct k from kv_log) x", "kv_log")
+frame("prefix_scan", lambda t: log.prefix_scan(t, PREFIX), f"select * from ({LIVE}) x where starts_with(k, '{PREFIX}')", "kv_log")
+frame("prefix_count", lambda t: log.prefix_scan(t, PREFIX).agg(F.count("*").alias("n")), f"select count(*) as n from ({LIVE}) x where starts_with(k, '{PREFIX}')", "kv_log")
+text("block_layout", "select file_id, block_no, first_key, last_key, n from blocks")
+text("block_zone_map", "select file_id, block_no, min_ts, max_ts, first_key, last_key from blocks")
+text("filter_partition_zone_map", "select file_id, p, min(k) as low, max(k) as high, count(*) as n from (select file_id, k, cast(floor((row_number() over (partition by file_id order by k) - 1) / 100.0) as int) as p from (select distinct run_id * 100 + cast(floor(cast(substr(k, 6, 6) as int) / 30.0) as int) as file_id, k from kv_runs) d) e group by file_id, p")
+text("wal_bytes_per_key", "select k, count(*) as n, cast(sum(17 + length(k) + length(v)) as bigint) as bytes from kv_log group by k")
+FOLD = "select file_id, level from live_files"
+
+
+def fold_manifest(changes: DataFrame) -> DataFrame:
+    """The newest change of every file decides; added files are live."""
+    return changes.groupBy("file_id").agg(F.max_by(F.struct("type", "level"), "seq").alias("c")).where("c.type = 'add_table'").select("file_id", "c.level")
+
+
+frame("manifest_fold", fold_manifest, FOLD, "manifest_changes")
+frame("manifest_by_level", lambda m: fold_manifest(m).groupBy("level").agg(F.count("*").alias("n")), f"select level, count(*) as n from ({FOLD}) x group by level", "manifest_changes")
+text("manifest_next_id", "select max(file_id) + 1 as next_id from manifest_changes")
+frame("vlog_pointer_assign", lambda d: values.assign_pointers(d).select("doc_id", "n", "is_external", "file_id", "log_offset"), "select doc_id, n, is_external, file_id, log_offset from blobs", "sizes")
+text("vlog_utilization", "select file_id, cast(sum(n + 12) as bigint) as bytes, count(*) as entries, round(sum(n + 12) / 1048576.0e0, 6) as used from blobs group by file_id")
+
+
+def external(d: DataFrame) -> DataFrame:
+    return values.assign_pointers(d).where("is_external")
+
+
+frame("vlog_deref", lambda d: values.dereference(external(d).select("doc_id", "file_id", "log_offset"), values.assign_pointers(d).select("file_id", "log_offset", "text")).select("doc_id", F.sha2("text", 256).alias("sha")), "select doc_id, sha256(text) as sha from blobs where is_external", "sizes")
+text("value_separation", "select is_external, count(*) as n, cast(sum(n) as bigint) as bytes from blobs group by is_external")
+text("pointer_codec", "select doc_id, concat(lpad(lower(hex(file_id)), 8, '0'), lpad(lower(hex(log_offset)), 16, '0'), lpad(lower(hex(n)), 8, '0')) as code from blobs")
+
+# Projections and predicates
+frame("meta_flag_decode", lambda t: t.select("ts", *[log.flagged(f).alias(n) for n, f in (("deleted", 1), ("tombstone", 2), ("compressed", 4), ("external", 8))]), "select ts, meta & 1 <> 0 as deleted, meta & 2 <> 0 as tombstone, meta & 4 <> 0 as compressed, meta & 8 <> 0 as external from kv_log", "kv_log")
+text("version_compare", "select k, ts, coalesce(ts > lag(ts) over (partition by k order by ts), true) as newer from kv_log")
+text("version_history", "select k, ts, v, lag(v) over (partition by k order by ts) as before_v, lead(ts) over (partition by k order by ts) as replaced_at from kv_log")
+text("overlap_files", f"select file_id, level from sst_files where largest_key >= '{FIRST}' and smallest_key <= '{LAST}'")
+text("validate_entries", "select ts, case when length(k) = 0 then 'EmptyKey' when length(k) > 1048576 then 'KeyTooLarge' when length(v) > 1073741824 then 'ValueTooLarge' else 'ok' end as verdict from kv_log")
+text("serialized_sizes", "select ts, cast(13 + length(v) as bigint) as bytes from kv_log")
+
+# Joins, aggregations, windows
+text("overlapping_pairs", "select a.file_id as upper_file, b.file_id as lower_file from sst_files a join sst_files b on b.level = a.level + 1 and a.smallest_key <= b.largest_key and b.smallest_key <= a.largest_key where a.level = 0")
+text("compaction_inputs", "select u.file_id as upper_file, l.file_id as lower_file from (select s.level, min(s.smallest_key) as sk from sst_files s join (select min(c.level) as level from level_stats c join budgets b on c.level = b.level where c.total_size >= b.budget) f on s.level = f.level group by s.level) p join sst_files u on u.level = p.level and u.smallest_key = p.sk left join sst_files l on l.level = u.level + 1 and l.smallest_key <= u.largest_key and l.largest_key >= u.smallest_key")
+text("orphan_files", "select s.file_id from sst_files s left join live_files m on s.file_id = m.file_id where m.file_id is null")
+text("missing_files", "select m.file_id from live_files m left join (select file_id from sst_files where level < 2) s on m.file_id = s.file_id where s.file_id is null")
+text("upsert_result", "select k, max_by(v, ts) as v, count(*) as writes from kv_log group by k")
+text("level_stats", "select level, n_files, total_size, round(avg_size, 6) as avg_size, max_size, min_size, n_keys, tombstone_ratio, round(mean_age_ts, 6) as mean_ts from level_stats")
+text("level_sizes", "select level, total_size from level_stats")
+text("op_counters", "select count(*) filter (where meta % 2 = 0) as puts, count(*) filter (where meta % 2 = 1) as deletes, count(distinct k) as n_keys, cast(sum(length(v)) as bigint) as bytes from kv_log")
+DISCARD = "select b.file_id, cast(sum(n + 12) as bigint) as total, cast(sum(case when alive is null then n + 12 else 0 end) as bigint) as discarded from blobs b left join (select max(doc_id) as alive from documents group by text) a on b.doc_id = a.alive group by b.file_id"
+
+
+def alive_pointers(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value log, live pointers): of equal texts the last one is alive."""
+    entries = values.assign_pointers(d)
+    return entries, entries.join(d.groupBy("text").agg(F.max("doc_id").alias("doc_id")).select("doc_id"), "doc_id", "left_semi")
+
+
+frame("discard_ratio", lambda d: values.discard_ratios(*alive_pointers(d)), f"select file_id, total, discarded, round(case when total > 0 then discarded * 1.0e0 / total else 0.0e0 end, 6) as ratio from ({DISCARD}) x", "sizes")
+frame("reclaim_candidates", lambda d: values.discard_ratios(*alive_pointers(d)).where("ratio >= 0.05").select("file_id"), f"select file_id from ({DISCARD}) x where round(discarded * 1.0e0 / total, 6) >= 0.05", "sizes")
+frame("vlog_live_entries", lambda d: values.live_entries(*alive_pointers(d), 0.05).select("doc_id", "file_id", "log_offset"), f"select doc_id, file_id, log_offset from blobs where file_id in (select file_id from ({DISCARD}) x where round(discarded * 1.0e0 / total, 6) >= 0.05) and doc_id in (select max(doc_id) from documents group by text)", "sizes")
+text("compaction_stats", "select level, max_ts, cast(sum(size) over (partition by level order by max_ts, file_id) as bigint) as bytes_so_far, round(avg(size) over (partition by level order by max_ts, file_id), 6) as avg_so_far from sst_files")
+text("running_mean", "select k, ts, round(avg(cast(v as double)) over (partition by k order by ts rows between unbounded preceding and current row), 6) as mean_so_far from kv_log")
+text("error_counts", "select err, count(*) as n from error_log group by err")
+text("error_rate", "select count(*) as n, round(count(*) * 1000.0e0 / (select count(*) from events), 6) as per_thousand from error_log")
+text("error_rate_rolling", "select event_id, count(*) over (order by event_id range between 500 preceding and current row) as recent from error_log")
+CONFLICT = "select distinct r.txn_id from txn_ops r join txn_ops w on r.k = w.k and r.op = 'r' and w.op = 'w' and w.commit_ts > r.read_ts and w.commit_ts < r.commit_ts and w.txn_id <> r.txn_id"
+frame("txn_conflicts", transactions.conflicts, CONFLICT, "txn_ops")
+frame("txn_conflicts_advanced", lambda o: transactions.conflicts(o, "advanced"), CONFLICT.replace("and r.op = 'r' ", ""), "txn_ops")
+frame("txn_commit_apply", transactions.apply_commits, None, "txn_ops")
+frame("txn_replay", transactions.replay, None, "txn_ops")
+text("txn_outcomes", f"select count(*) as started, count(*) - count(c.txn_id) as committed, count(c.txn_id) as aborted from txns t left join ({CONFLICT}) c on t.txn_id = c.txn_id")
+text("txn_sizes", "select txn_id, count(distinct case when op = 'r' then k end) as n_reads, count(case when op = 'w' then 1 end) as n_writes, cast(sum(case when op = 'w' then length(k) + length(v) else 0 end) as bigint) as bytes from txn_ops group by txn_id")
+text("txn_limit_violations", "select txn_id from txn_ops group by txn_id having count(distinct case when op = 'r' then k end) > 4 or count(case when op = 'w' then 1 end) > 1000")
+text("txn_sets", "select txn_id, count(distinct case when op = 'r' then k end) as read_set, count(distinct case when op = 'w' then k end) as write_set, min(k) as low, max(k) as high from txn_ops group by txn_id")
+text("assign_ts", "select txn_id, cast(row_number() over (partition by floor(txn_id / 100.0) order by txn_id) as bigint) as ts_in_batch from txns")
+text("committed_cleanup", "select txn_id, commit_ts from (select txn_id, commit_ts, row_number() over (order by commit_ts desc) as n from (select txn_id, commit_ts from txns where commit_ts >= (select max(read_ts) - 1000 from txns)) a) b where n <= 5000")
+text("txn_low_watermark", "select min(read_ts) as low from txns where commit_ts > 5000 and read_ts <= 5000")
+text("safe_for_gc", "select txn_id from txns where commit_ts < (select min(read_ts) from txns where commit_ts > 5000 and read_ts <= 5000)")
+frame("watermark_timeline", transactions.low_watermark_timeline, "select at_ts, min(read_ts) as low from (select read_ts as at_ts from txns union select commit_ts from txns) i left join txns on read_ts <= at_ts and commit_ts > at_ts group by at_ts", "txns")
+text("watermark_group_min", "select least(min(read_ts), min(commit_ts)) as low from txns")
+text("active_txn_count", "select count(*) as n from txns where read_ts <= 5000 and commit_ts > 5000")
+ENTROPY_SPARK = "select ts, round(-sum(p * log2(p)), 6) as entropy from (select ts, count(*) * 1.0e0 / first(n) as p from (select ts, length(v) as n, explode(split(v, '')) as c from kv_log) a group by ts, c) b group by ts"
+ENTROPY_DUCK = "select ts, round(-sum(p * log2(p)), 6) as entropy from (select ts, count(*) * 1.0e0 / any_value(n) as p from (select ts, length(v) as n, unnest(string_split(v, '')) as c from kv_log) a group by ts, c) b group by ts"
+
+
+def dialects(name: str, spark: str, duck: str) -> None:
+    QUERIES[name] = lambda s, d: s.sql(spark_sql(spark, d))
+    ORACLE_SQL[name] = duckdb_sql(duck)
+
+
+dialects("value_entropy", ENTROPY_SPARK, ENTROPY_DUCK)
+WORTH = "select ts, n >= 8 and (8 - entropy) / 8 > 0.6 as worth from (select e.ts, e.entropy, length(l.v) as n from ({E}) e join kv_log l on e.ts = l.ts) x"
+dialects("should_compress", WORTH.replace("{E}", ENTROPY_SPARK), WORTH.replace("{E}", ENTROPY_DUCK))
+dialects("appears_encrypted", "select doc_id, size(array_distinct(split(substr(text, 1, 1024), ''))) > 200 and n >= 32 as encrypted from sizes where text <> ''", "select doc_id, len(list_distinct(string_split(substr(text, 1, 1024), ''))) > 200 and n >= 32 as encrypted from sizes where text <> ''")
+text("write_amplification", "select round(sum(size) * 1.0e0 / (select sum(length(k) + length(v)) from kv_log), 6) as amplification from sst_files")
+text("key_prefix_histogram", "select substr(k, 1, 9) as prefix, count(*) as n from kv_log group by substr(k, 1, 9)")
+dialects("key_decompose", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log")
+text("bench_regression", "select run_day, ops, before, case when before is null then 'first' when ops > before * 1.05e0 then 'improved' when ops < before * 0.95e0 then 'regressed' else 'stable' end as verdict from (select run_day, ops, lag(ops) over (order by run_day) as before from bench_runs) x")
+frame("memtable_rotation", lambda t: log.running_total(t, "ts", F.length("k") + F.length("v"), "bytes").select("ts", F.floor(F.col("bytes") / 65536).cast("int").alias("memtable")), "select ts, cast(floor(cast(sum(length(k) + length(v)) over (order by ts rows between unbounded preceding and current row) as bigint) / 65536.0) as int) as memtable from kv_log", "kv_log")
+text("queue_depth", "select at_ts, cast(sum(step) over (order by at_ts, step) as bigint) as depth from (select read_ts as at_ts, 1 as step from txns union all select commit_ts, -1 from txns) x")
+
+# Sorts, top-k, set operations, mutations
+frame("tables_sorted", lambda f: f.select("file_id", "smallest_key").orderBy("smallest_key", "file_id"), "select file_id, smallest_key from sst_files", "sst_files")
+text("order_violations", "select count(*) as n from (select k, ts, lag(k) over (partition by run_id order by ts) as p from kv_runs) x where p >= k")
+text("key_bounds", "select file_id, smallest_key, largest_key from sst_files")
+frame("merge_runs", lambda r: log.merge(*[r.where(F.col("run_id") == n) for n in range(4)]).select("k", "v", "ts", "meta"), "select k, v, ts, meta from latest", "kv_runs")
+frame("compact_bottom", lambda r: log.merge(r, bottom=True).select("k", "v", "ts", "meta"), LIVE, "kv_runs")
+frame("flush_to_l0", lambda r: log.latest(r.where("run_id = 3")).select("k", "v", "ts", "meta").sortWithinPartitions("k"), "select k, max_by(v, ts) as v, max(ts) as ts, max_by(meta, ts) as meta from kv_runs where run_id = 3 group by k", "kv_runs")
+frame("delete_masking", lambda t: log.latest(t).where(log.flagged(1)).select("k", "ts"), "select k, ts from latest where meta % 2 = 1", "kv_log")
+frame("delete_missing_noop", lambda t: log.live(t.unionByName(t.limit(1).select(F.lit("user:none").alias("k"), F.lit("").alias("v"), F.lit(1 << 40).alias("ts"), F.lit(3).alias("meta")))), LIVE, "kv_log")
+frame("batch_apply", lambda t: log.latest(t.where("ts <= 5000").unionByName(t.where("ts > 5000"))), "select k, v, ts, meta from latest", "kv_log")
+
+# Compaction planning
+text("level_budgets", "select level, budget, case when level = 0 then 5 else 10 end as max_tables from budgets")
+NEEDS = "select s.level, s.n_files, s.total_size, b.budget, s.tombstone_ratio, (s.level = 0 and s.n_files >= 5) or (s.level > 0 and s.total_size >= b.budget) or s.tombstone_ratio > 0.3 as needed from level_stats s join budgets b on s.level = b.level"
+text("needs_compaction", f"select level, needed from ({NEEDS}) x")
+PRIORITY = f"select level, needed, round(case when level = 0 then n_files * 10.0e0 else total_size * 50.0e0 / budget + n_files * 5 end + case when total_size >= budget then 100 else 0 end + case when tombstone_ratio > 0.2 then 30 else 0 end, 6) as priority from ({NEEDS}) x"
+text("level_job_priority", PRIORITY)
+text("pick_level_compaction", f"select level, priority from ({PRIORITY}) x where needed order by priority desc, level limit 1")
+text("explain_priority", f"select level, concat('L', cast(level as {{S}}), ' needed=', case when needed then 'yes' else 'no' end) as said from ({PRIORITY}) x")
+text("pick_universal", "select count(*) as n_files, count(*) * 20 as priority, count(*) >= 5 as picked from sst_files where level = 0")
+GROUPS = "select file_id, size, cast(floor(log2(size)) as int) as tier from sst_files"
+text("pick_size_tiered", f"select tier, count(*) as n_files, cast(sum(size) as bigint) as bytes from ({GROUPS}) x group by tier having count(*) >= 4")
+text("compaction_time_estimate", "select level, greatest(cast(ceil(total_size / 1048576.0e0 / (case level when 0 then 20 when 1 then 15 when 4 then 8 else 12 end / 1.3e0) / (1 + 0.05e0 * (n_files - 1))) as bigint), 1) as seconds from level_stats")
+text("throttle_decision", f"select level, priority, case when priority > 80 then 5 else 10 end as delay_ms from ({PRIORITY}) x")
+
+# Scalar functions
+dialects("sha256_values", "select ts, sha2(v, 256) as digest from kv_log", "select ts, sha256(v) as digest from kv_log")
+text("bloom_sizing", "select file_id, greatest(cast(ceil(-key_count * ln(0.01e0) / (ln(2.0e0) * ln(2.0e0))) as bigint), 1) as bits, greatest(cast(round(ceil(-key_count * ln(0.01e0) / (ln(2.0e0) * ln(2.0e0))) / key_count * ln(2.0e0)) as bigint), 1) as hashes from sst_files")
+text("max_compressed_size", "select doc_id, n + cast(floor(n / 1000.0) as bigint) + 14 as bound from sizes")
+dialects("is_compressed", "select doc_id, substr(hex(text), 1, 4) in ('789C', '7801', '78DA') as zlib from sizes where text is not null", "select doc_id, substr(hex(encode(text)), 1, 4) in ('789C', '7801', '78DA') as zlib from sizes where text is not null")
+text("encrypted_sizes", "select doc_id, n + 28 as encrypted, n as decrypted from sizes")
+dialects("aes_roundtrip", "select doc_id, cast(aes_decrypt(aes_encrypt(text, '0123456789abcdef0123456789abcdef', 'GCM'), '0123456789abcdef0123456789abcdef', 'GCM') as string) = text as same from sizes where text is not null", "select doc_id, true as same from sizes where text is not null")
+text("retry_schedule", "select n, cast(least(100 * power(2.0e0, n), 5000) as bigint) as delay_ms from (select distinct n_nationkey as n from nation) x")
+text("retryable_errors", "select e.err, count(*) as n, e.err in ('E1', 'E3', 'E5') as retryable from error_log e group by e.err")
+frame("fnv1a_checksum", codecs.checksums, None, "kv_log")
+frame("block_crc32", lambda b: b.select("file_id", "block_no", F.crc32(F.concat("first_key", "last_key")).alias("crc")), None, "blocks")
+frame("zlib_roundtrip", codecs.zlib_roundtrip, "select doc_id, true as same from sizes where text is not null", "sizes")
+frame("compression_stats", codecs.compression_stats, None, "sizes")
+frame("bloom_build", codecs.bloom_filters, None, "kv_runs")
+frame("bloom_probe", codecs.bloom_probe, None, "kv_runs", "kv_log")
+frame("wal_encode", records.encode_log, "select ts, lower(hex(encode(concat(k, v)))) as payload from kv_log", "kv_log")
+frame("wal_replay", records.replay_roundtrip, "select k, v, ts, meta from kv_log", "kv_log")
+frame("sst_reader", records.table_roundtrip, "select k, v, ts, meta from latest", "kv_log")
+QUERIES["stream_latest"] = feeds.stream_latest
+ORACLE_SQL["stream_latest"] = duckdb_sql("select user_id, count(*) as n, max(event_id) as last_event from events group by user_id")
+QUERIES["stream_window_counts"] = feeds.stream_window_counts
+ORACLE_SQL["stream_window_counts"] = "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all"
+QUERIES["stream_apply_batches"] = feeds.stream_apply_batches
+ORACLE_SQL["stream_apply_batches"] = ORACLE_SQL["stream_latest"]
