@@ -56,7 +56,7 @@ def thinned(points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 def top_inner_products(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k largest integer inner products of floor(256 * component), ties to the smaller id.
 
-    Doubles hold the products exactly up to 2**53; beyond that Python integers take over.
+    Doubles hold the products exactly up to 2**53; beyond that Python integers take over. A score beyond a long raises OverflowError.
     """
     q, p = quantised(queries), quantised(vectors)
     top = max(np.abs(q).max(), np.abs(p).max())

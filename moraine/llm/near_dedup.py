@@ -212,6 +212,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of which a near duplicate with a smaller id stays, and one row of those that repeat an id and are dropped nowhere."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    """The rows of docs without those of which a near duplicate with a smaller id stays; rows that repeat a kept id stay."""
+    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")

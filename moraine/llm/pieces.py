@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from moraine.llm.common import small_batches
 
@@ -273,4 +273,4 @@ def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col:
 
     small_batches(docs.sparkSession)
     kept = docs.drop(ids_col)
-    return kept.mapInPandas(run, StructType(list(kept.schema.fields)).add(ids_col, "array<int>"))
+    return kept.mapInPandas(run, StructType(list(kept.schema.fields)).add(ids_col, ArrayType(IntegerType())))

@@ -96,10 +96,10 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", example_owners: int
     Rows that share a doc_id share their redactions only where the text at the span is the same value, so doc_id should be unique.
     """
     live = classified(scan(docs, "doc_id", owner_col, text_col), example_owners).where("live")
-    live = live.groupBy(F.col("doc_id").alias("live_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("live_spans"))
-    joined = docs.join(live, F.col("doc_id") == F.col("live_doc"), "left")
+    live = live.groupBy(F.col("doc_id").alias("__live_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__live_spans"))
+    joined = docs.join(live, F.col("doc_id") == F.col("__live_doc"), "left")
     text = F.col(text_col)
     step = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"), acc["t"].alias("t"))
-    redacted = F.aggregate("live_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
-    changed = F.when(F.col("live_spans").isNotNull() & text.isNotNull(), redacted).otherwise(text)
+    redacted = F.aggregate("__live_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
+    changed = F.when(F.col("__live_spans").isNotNull() & text.isNotNull(), redacted).otherwise(text)
     return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])

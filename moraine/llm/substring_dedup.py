@@ -95,10 +95,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of all documents but the first; no row is dropped and other texts stay as they are."""
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("span_doc"), "spans")
+    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("__span_doc"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
     step = lambda acc, s: F.struct(s["stop"].alias("at"), F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, s["start"] - acc["at"])).alias("out"), acc["t"].alias("t"))
-    left = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
-    joined = docs.join(spans, F.col(id_col) == F.col("span_doc"), "left")
-    changed = F.when(F.col("spans").isNotNull() & text.isNotNull(), left).otherwise(text)
+    left = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
+    joined = docs.join(spans, F.col(id_col) == F.col("__span_doc"), "left")
+    changed = F.when(F.col("__spans").isNotNull() & text.isNotNull(), left).otherwise(text)
     return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])
