@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.bpe import encoder
-from moraine.llm.common import exists, small_batches
+from moraine.llm.common import exists, materialize, small_batches
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
 
@@ -48,5 +48,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
             yield pd.DataFrame({"digest": b["digest"], "n_tokens": list(map(encoder(tokenizer).count, b["text"]))})
 
     misses.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(store)
-    counts = stored().groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # two writers may both have added a content
+    counts = materialize(stored().groupBy("digest").agg(F.min("n_tokens").alias("n_tokens")), "counts")  # two writers may both have added a content
     return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
