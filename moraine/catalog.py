@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine import config
 from moraine.functions import codecs
 from moraine.operators import log, transactions, values
 from moraine.sources import records
@@ -223,6 +224,7 @@ frame("bloom_probe", codecs.bloom_probe, None, "kv_runs", "kv_log")
 frame("wal_encode", records.encode_log, "select ts, lower(hex(encode(concat(k, v)))) as payload from kv_log", "kv_log")
 frame("wal_replay", records.replay_roundtrip, "select k, v, ts, meta from kv_log", "kv_log")
 frame("sst_reader", records.table_roundtrip, "select k, v, ts, meta from latest", "kv_log")
+QUERIES["config_summary"] = lambda spark, sf_dir: spark.createDataFrame([(p, n, int(v)) for p in config.PRESETS for n, v in config.Options.preset(p).summary().items()], "preset string, name string, value long")
 QUERIES["stream_latest"] = feeds.stream_latest
 ORACLE_SQL["stream_latest"] = duckdb_sql("select user_id, count(*) as n, max(event_id) as last_event from events group by user_id")
 QUERIES["stream_window_counts"] = feeds.stream_window_counts

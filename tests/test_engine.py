@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from moraine import catalog, views
+from moraine.config import PRESETS, Options
 from moraine.functions import codecs
 from moraine.operators import log, transactions
 from moraine.sources import records
@@ -133,3 +134,13 @@ def test_record_sources(spark, tmp_path):
     assert sorted(map(tuple, spark.read.format("moraine_wal").load(str(tmp_path / "*.log")).collect())) == rows_
     with pytest.raises(ValueError):
         records.write_table_file(rows_ + rows_[:1], str(tmp_path / "b.sst"))
+
+
+def test_options():
+    base = Options.preset()
+    assert base.problems() == [] and base.compression == "zlib" and not base.sync_writes
+    assert all(Options.preset(p).problems() == [] for p in PRESETS)
+    assert Options.preset("production").num_compactors == 8 and not Options.preset("development").summary()["compressed"]
+    assert len(base.replace(bloom_false_positive=2.0, level_size_multiplier=1, compression_level=0, num_memtables=0).problems()) == 4
+    assert base.level_budget(0) == 2 << 20 and base.level_budget(2) == (2 << 20) * 100 and base.level_budget(60) == 2**63 - 1
+    assert base.writer_options()["compression"] == "gzip"
