@@ -110,19 +110,21 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[int,
                 sequences += n
     space: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free ids: (first sequence, how many)
     for length in range(capacity - 1, 0, -1):
-        n = int(left[length])
-        for free in range(length, capacity):
-            while n and space[free]:
-                first, have = space[free].pop()
-                use = min(n, have)
-                place(length, use, first, capacity - free)
-                if use < have:
-                    space[free].append((first + use, have - use))
-                if free > length:
-                    space[free - length].append((first, use))
-                n -= use
-            if free >= 2 * length and n:
+        n, free = int(left[length]), length
+        while n and free < capacity:
+            if not space[free]:
+                free += 1
                 continue
+            first, have = space[free].pop()
+            use = min(n, have)
+            place(length, use, first, capacity - free)
+            if use < have:
+                space[free].append((first + use, have - use))
+            if free > length:
+                space[free - length].append((first, use))
+            n -= use
+            if free >= 2 * length:  # what is left takes the same length again, and fits it better
+                free -= length
         each = capacity // length
         for per, m in ((each, n // each), (n % each, 1)):
             if per and m:

@@ -76,6 +76,19 @@ def test_plan_is_close_to_the_bound():
     assert used <= 1.01 * sum(k * n for k, n in histogram.items()) / 2048 + 1
 
 
+def test_plan_fills_a_sequence_again_with_the_same_length():
+    for histogram, most in (({1100: 100, 300: 1000}, 217), ({1500: 1000, 100: 20000}, 1750), ({2048: 3, 1: 5}, 4)):
+        filled: dict[int, list] = {}
+        for length, rank_from, rank_to, first, offset in packing.plan_sequences(histogram, 2048):
+            for k in range(rank_to - rank_from):
+                filled.setdefault(first + k, []).append((offset, length))
+        assert len(filled) <= most
+        for places in filled.values():
+            places.sort()
+            assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+            assert sum(n for _, n in places) <= 2048
+
+
 def test_vector_search_against_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.normal(0, 0.3, (300, 8)).astype(np.float32)
