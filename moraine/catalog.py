@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from moraine import config
 from moraine.functions import codecs
 from moraine.operators import log, transactions, values
+from moraine.plans import compaction
 from moraine.sources import records
 from moraine.streaming import feeds
 from moraine.views import duckdb_sql, spark_sql, view
@@ -173,7 +174,7 @@ def dialects(name: str, spark: str, duck: str) -> None:
 dialects("value_entropy", ENTROPY_SPARK, ENTROPY_DUCK)
 WORTH = "select ts, n >= 8 and (8 - entropy) / 8 > 0.6 as worth from (select e.ts, e.entropy, length(l.v) as n from ({E}) e join kv_log l on e.ts = l.ts) x"
 dialects("should_compress", WORTH.replace("{E}", ENTROPY_SPARK), WORTH.replace("{E}", ENTROPY_DUCK))
-dialects("appears_encrypted", "select doc_id, size(array_distinct(split(substr(text, 1, 1024), ''))) > 200 and n >= 32 as encrypted from sizes where text <> ''", "select doc_id, len(list_distinct(string_split(substr(text, 1, 1024), ''))) > 200 and n >= 32 as encrypted from sizes where text <> ''")
+dialects("appears_encrypted", "select doc_id, n >= 32 and size(array_distinct(regexp_extract_all(hex(substr(cast(text as binary), 1, 1024)), '(..)', 1))) > 200 as encrypted from sizes where text <> ''", "select doc_id, n >= 32 and len(list_distinct(regexp_extract_all(substr(hex(encode(text)), 1, 2048), '..'))) > 200 as encrypted from sizes where text <> ''")
 text("write_amplification", "select round(sum(size) * 1.0e0 / (select sum(length(k) + length(v)) from kv_log), 6) as amplification from sst_files")
 text("key_prefix_histogram", "select substr(k, 1, 9) as prefix, count(*) as n from kv_log group by substr(k, 1, 9)")
 dialects("key_decompose", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log")
@@ -194,17 +195,35 @@ frame("batch_apply", lambda t: log.latest(t.where("ts <= 5000").unionByName(t.wh
 
 # Compaction planning
 text("level_budgets", "select level, budget, case when level = 0 then 5 else 10 end as max_tables from budgets")
-NEEDS = "select s.level, s.n_files, s.total_size, b.budget, s.tombstone_ratio, (s.level = 0 and s.n_files >= 5) or (s.level > 0 and s.total_size >= b.budget) or s.tombstone_ratio > 0.3 as needed from level_stats s join budgets b on s.level = b.level"
-text("needs_compaction", f"select level, needed from ({NEEDS}) x")
-PRIORITY = f"select level, needed, round(case when level = 0 then n_files * 10.0e0 else total_size * 50.0e0 / budget + n_files * 5 end + case when total_size >= budget then 100 else 0 end + case when tombstone_ratio > 0.2 then 30 else 0 end, 6) as priority from ({NEEDS}) x"
-text("level_job_priority", PRIORITY)
-text("pick_level_compaction", f"select level, priority from ({PRIORITY}) x where needed order by priority desc, level limit 1")
-text("explain_priority", f"select level, concat('L', cast(level as {{S}}), ' needed=', case when needed then 'yes' else 'no' end) as said from ({PRIORITY}) x")
+CLOCK = 1_000_000
+#: The greedy choice of a level's files, one file a step.
+GREEDY = """(with recursive f as (select level, size, row_number() over (partition by level order by smallest_key, file_id) as n, 40000 * power(10, level + 1) as room from sst_files),
+  r as (select level, n, case when size <= room then size else 0 end as bytes, case when size <= room then 1 else 0 end as taken from f where n = 1
+    union all select f.level, f.n, r.bytes + case when r.bytes + f.size <= room then f.size else 0 end, r.taken + case when r.bytes + f.size <= room then 1 else 0 end from r join f on f.level = r.level and f.n = r.n + 1)
+  select level, arg_max(bytes, n) as bytes, arg_max(taken, n) as taken from r group by level)"""
+STATS = f"(select s.level, count(*) as n, sum(size) as total, sum(tombstones) / sum(key_count) as ratio, avg({CLOCK} - max_ts) as age from sst_files s group by s.level)"
+REASONS = f"(select s.*, case when s.level = 0 then total else bytes end as bytes, case when s.level = 0 then n else taken end as n_inputs, case when s.level = 0 or n >= 10 then 'level_full' when ratio > 0.2 then 'tombstone_cleanup' when n > 5 then 'read_amplification' else 'size_threshold' end as reason from {STATS} s join {GREEDY} g on s.level = g.level)"
+JOBS = f"""select level, case when level = 0 then n >= 5 else total >= 40000 * power(10, level) or n > 10 or ratio > 0.3 end as needed, n_inputs::bigint as n_inputs, bytes::bigint as bytes, reason,
+  round(case when level = 0 then n * 10.0 else bytes / (40000 * power(10, level + 1)) * 50 + n_inputs * 5 + n * 2 + age / 1000000 + case reason when 'level_full' then 100 when 'tombstone_cleanup' then 30 when 'read_amplification' then 20 else 0 end end::double, 6) as priority
+  from {REASONS} x where n_inputs > 0"""
+
+
+def planned(name: str, build: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    frame(name, lambda f: build(compaction.level_jobs(f, clock=CLOCK)), sql, "sst_files")
+
+
+planned("needs_compaction", lambda j: j.select("level", "needed"), f"select level, needed from ({JOBS}) j")
+planned("level_job_priority", lambda j: j, JOBS)
+planned("pick_level_compaction", lambda j: compaction.pick_level_job(j).select("level", "priority"), f"select level, priority from ({JOBS}) j where needed order by priority desc, level limit 1")
+planned("explain_priority", compaction.explained, f"select level, format('Level {{}}: {{}}, {{}} files, {{:.1f}} MB, priority {{:.1f}}', level, reason, n_inputs, bytes / 1048576, priority) as said from ({JOBS}) j")
+planned("compaction_time_estimate", compaction.estimated_seconds, f"select level, greatest(ceil(bytes * 1.3e0 * (1 + 0.05e0 * (n_inputs - 1)) / (1048576 * [20, 15, 12, 12, 8, 8, 8][level + 1] * case reason when 'tombstone_cleanup' then 0.9e0 when 'read_amplification' then 1.2e0 else 1 end)), 1)::bigint as seconds from ({JOBS}) j")
+planned("throttle_decision", compaction.throttled, f"select level, priority, (select count(*) from ({JOBS}) k where needed) >= 32 as throttled, case when priority > 0.8 then 5 else 10 end as delay_ms from ({JOBS}) j")
+TIERS = """(with recursive f as (select level, file_id, size, row_number() over (partition by level order by size, file_id) as n from sst_files),
+  r as (select level, file_id, size, n, size as base from f where n = 1
+    union all select f.level, f.file_id, f.size, f.n, case when f.size > 2 * r.base then f.size else r.base end from r join f on f.level = r.level and f.n = r.n + 1)
+  select *, count(*) over (partition by level, base) as members from r)"""
+frame("pick_size_tiered", compaction.size_tier, f"select level, file_id, size, members * 10 as priority from {TIERS} t where members >= 4 qualify dense_rank() over (order by level, base) = 1", "sst_files")
 text("pick_universal", "select count(*) as n_files, count(*) * 20 as priority, count(*) >= 5 as picked from sst_files where level = 0")
-GROUPS = "select file_id, size, cast(floor(log2(size)) as int) as tier from sst_files"
-text("pick_size_tiered", f"select tier, count(*) as n_files, cast(sum(size) as bigint) as bytes from ({GROUPS}) x group by tier having count(*) >= 4")
-text("compaction_time_estimate", "select level, greatest(cast(ceil(total_size / 1048576.0e0 / (case level when 0 then 20 when 1 then 15 when 4 then 8 else 12 end / 1.3e0) / (1 + 0.05e0 * (n_files - 1))) as bigint), 1) as seconds from level_stats")
-text("throttle_decision", f"select level, priority, case when priority > 80 then 5 else 10 end as delay_ms from ({PRIORITY}) x")
 
 # Scalar functions
 dialects("sha256_values", "select ts, sha2(v, 256) as digest from kv_log", "select ts, sha256(v) as digest from kv_log")

@@ -9,6 +9,7 @@ from moraine import catalog, views
 from moraine.config import PRESETS, Options
 from moraine.functions import codecs
 from moraine.operators import log, transactions
+from moraine.plans import compaction
 from moraine.sources import records
 
 SF = "/root/testdata/sf0.001"
@@ -99,6 +100,38 @@ def test_replay_equals_sequential_validation(spark):
     assert {x.txn_id: x.committed for x in transactions.replay(df).collect()} == want
 
 
+FILES = "file_id int, level int, smallest_key string, size long, key_count long, tombstones long, max_ts long"
+
+
+def test_level_jobs_equal_a_loop(spark):
+    r = random.Random(3)
+    files = [(i, r.choice([0, 1, 1, 2]), f"k{r.randrange(40):02d}", r.randrange(1, 900), 10, r.randrange(5), r.randrange(1000)) for i in range(60)]
+    limits = compaction.Limits(base_bytes=10, fanout=10)
+    got = {x.level: x for x in compaction.level_jobs(spark.createDataFrame(files, FILES).repartition(5), limits, 1000).collect()}
+    for level in (1, 2):
+        mine = sorted((f for f in files if f[1] == level), key=lambda f: (f[2], f[0]))
+        room, used, n = 10 * 10 ** (level + 1), 0, 0
+        for f in mine:
+            if used + f[3] <= room:
+                used, n = used + f[3], n + 1
+        ratio = sum(f[5] for f in mine) / sum(f[4] for f in mine)
+        reason, extra = ("level_full", 100) if len(mine) >= 10 else ("tombstone_cleanup", 30) if ratio > 0.2 else ("read_amplification", 20) if len(mine) > 5 else ("size_threshold", 0)
+        want = used / room * 50 + n * 5 + len(mine) * 2 + sum(1000 - f[6] for f in mine) / len(mine) / 1e6 + extra
+        assert (got[level].bytes, got[level].n_inputs, got[level].reason) == (used, n, reason) and abs(got[level].priority - want) < 1e-5
+    assert got[0].n_inputs == sum(f[1] == 0 for f in files) and got[0].priority == 10.0 * got[0].n_inputs
+    assert compaction.level_jobs(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_size_tier_takes_the_first_group(spark):
+    def pick(*sizes):
+        files = spark.createDataFrame([(i, level, "k", n, 1, 0, 0) for i, (level, n) in enumerate(sizes)], FILES)
+        return sorted((x.level, x.size, x.priority) for x in compaction.size_tier(files).collect())
+
+    assert pick((0, 1), (0, 2), (0, 2), (0, 5), (0, 6), (0, 9), (0, 10), (0, 11), (1, 7)) == [(0, n, 40) for n in (5, 6, 9, 10)]
+    assert pick(*[(0, n) for n in (1, 3, 9, 27)], *[(2, 8)] * 4, *[(3, 1)] * 9) == [(2, 8, 40)] * 4
+    assert pick((0, 4), (0, 4), (0, 4)) == [] and pick() == []
+
+
 def test_oracle_watermark():
     o = transactions.Oracle()
     a, b = o.begin(), o.begin()
