@@ -45,28 +45,28 @@ def candidates(text: Column) -> tuple[Column, Column]:
 
 
 def scan(docs: DataFrame, repository_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
-    """row_id, doc_id, repository, owner and spans (start, kind, stop, value) of every row, written to the shared folder. Null text: none."""
+    """row_id, doc_id, text_key (a hash), repository, owner and spans (start, kind, stop, value) of every row, written to the shared folder. Null text: none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), *(x.alias(n) for x, n in zip(candidates(text), ("base", "more"), strict=True)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id"), F.xxhash64(text).alias("text_key"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), *(x.alias(n) for x, n in zip(candidates(text), ("base", "more"), strict=True)))
     outside = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     spans = F.array_sort(F.concat("base", outside))
-    return materialize(rows.select("row_id", "doc_id", "repository", "owner", spans.alias("spans")), "secrets")
+    return materialize(rows.select("row_id", "doc_id", "text_key", "repository", "owner", spans.alias("spans")), "secrets")
 
 
 def classified(scanned: DataFrame, example_owners: int = 3) -> DataFrame:
-    """One row per span: row_id, doc_id, start, kind, stop, value_sha256, repositories, owners, example, live.
+    """One row per span: row_id, doc_id, text_key, start, kind, stop, value_sha256, repositories, owners, example, live.
 
     example: at least `example_owners` distinct owners hold the value (null owners are not counted). live: fewer do and the
     value mixes letters and digits. Counts are exact; a value that a third of all rows hold is counted after it was
     reduced to one row per repository and owner in every task.
     """
     s = F.col("span")
-    each = scanned.where(F.size("spans") > 0).select("row_id", "doc_id", "repository", "owner", F.explode("spans").alias("span"))
-    each = each.select("row_id", "doc_id", "repository", "owner", s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.sha2(s["value"], 256).alias("value_sha256"), (s["value"].rlike("[A-Za-z]") & s["value"].rlike("[0-9]")).alias("looks_random"))
+    each = scanned.where(F.size("spans") > 0).select("row_id", "doc_id", "text_key", "repository", "owner", F.explode("spans").alias("span"))
+    each = each.select("row_id", "doc_id", "text_key", "repository", "owner", s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.sha2(s["value"], 256).alias("value_sha256"), (s["value"].rlike("[A-Za-z]") & s["value"].rlike("[0-9]")).alias("looks_random"))
     held = each.groupBy("value_sha256").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
     out = each.join(materialize(held, "ownership"), "value_sha256")
     example = F.col("owners") >= example_owners
-    return out.select("row_id", "doc_id", "start", "kind", "stop", "value_sha256", "repositories", "owners", example.alias("example"), (~example & F.col("looks_random")).alias("live"))
+    return out.select("row_id", "doc_id", "text_key", "start", "kind", "stop", "value_sha256", "repositories", "owners", example.alias("example"), (~example & F.col("looks_random")).alias("live"))
 
 
 def _listed(spans: Column) -> Column:
@@ -93,12 +93,13 @@ def find_secrets(docs: DataFrame, repository_col: str = "doc_id", owner_col: str
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", example_owners: int = 3, owner_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with every live-looking credential replaced by `mark`; no row is dropped, widely copied examples stay.
 
-    Rows that share a doc_id share their redactions only where the text at the span is the same value, so doc_id should be unique.
+    Redactions go by id and text: rows that share an id but not a text get their own, rows without an id theirs by the text alone.
     """
     live = classified(scan(docs, "doc_id", owner_col, text_col), example_owners).where("live")
-    live = live.groupBy(F.col("doc_id").alias("__live_doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__live_spans"))
-    joined = docs.join(live, F.col("doc_id") == F.col("__live_doc"), "left")
+    live = live.groupBy(F.col("doc_id").alias("__live_doc"), F.col("text_key").alias("__live_text")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__live_spans"))
     text = F.col(text_col)
+    same = F.col("doc_id").eqNullSafe(F.col("__live_doc")) & (F.xxhash64(text) == F.col("__live_text"))
+    joined = docs.join(live, same, "left")
     step = lambda acc, s: F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"), acc["t"].alias("t"))
     redacted = F.aggregate("__live_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
     changed = F.when(F.col("__live_spans").isNotNull() & text.isNotNull(), redacted).otherwise(text)

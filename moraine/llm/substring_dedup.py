@@ -65,11 +65,11 @@ def merged(spans: Column) -> Column:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_spans, n_chars, spans (start, stop in code points, joined), first_docs of the documents that repeat passages of others.
+    """doc_id, text_key (a hash), n_spans, n_chars, spans (start, stop in code points, joined), first_docs of the documents that repeat passages of others.
 
     Of the documents that share a chunk the one with the smallest id keeps it; in all others it is a repeat. Repeats
     inside one document do not count. Null or short texts have no chunks, rows without an id take no part, rows that share an id
-    are one document; extra columns are ignored. A digest is reduced in every task before the shuffle, and
+    are one document, with a result for each of its texts; extra columns are ignored. A digest is reduced in every task before the shuffle, and
     the join that follows is one that adaptive execution splits where a passage is in a third of all rows.
     """
     small_batches(docs.sparkSession)
@@ -77,28 +77,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [chunks(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "chunk": [[{"digest": d, "start": s, "stop": e} for d, s, e in zip(*(x.tolist() for x in g), strict=True)] for g in got]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text_key": b["text_key"], "chunk": [[{"digest": d, "start": s, "stop": e} for d, s, e in zip(*(x.tolist() for x in g), strict=True)] for g in got]})
 
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut_rows = rows.mapInPandas(cut, "doc_id long, chunk array<struct<digest:long,start:int,stop:int>>")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    cut_rows = rows.mapInPandas(cut, "doc_id long, text_key long, chunk array<struct<digest:long,start:int,stop:int>>")
     stored = materialize(cut_rows, "chunks")
     digests = stored.select("doc_id", F.explode("chunk.digest").alias("digest"))
     shared = digests.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc").select("digest", "first_doc")
     shared = materialize(shared, "shared-chunks")
-    each = stored.select("doc_id", F.inline("chunk"))
+    each = stored.select("doc_id", "text_key", F.inline("chunk"))
     hits = each.join(shared, "digest").where("doc_id <> first_doc")
-    found = hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
+    found = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     found = found.withColumn("spans", merged(F.col("spans")))
     length = F.aggregate("spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
-    return found.select("doc_id", F.size("spans").alias("n_spans"), length.alias("n_chars"), "spans", "first_docs")
+    return found.select("doc_id", "text_key", F.size("spans").alias("n_spans"), length.alias("n_chars"), "spans", "first_docs")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of all documents but the first; no row is dropped and other texts stay as they are."""
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("__span_doc"), F.col("spans").alias("__spans"))
+    spans = repeated_spans(docs, id_col, text_col).select(F.col("doc_id").alias("__span_doc"), F.col("text_key").alias("__span_text"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
     step = lambda acc, s: F.struct(s["stop"].alias("at"), F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, s["start"] - acc["at"])).alias("out"), acc["t"].alias("t"))
     left = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), text.alias("t")), step, lambda acc: F.concat(acc["out"], acc["t"].substr(acc["at"] + 1, F.length(acc["t"]))))
-    joined = docs.join(spans, F.col(id_col) == F.col("__span_doc"), "left")
+    joined = docs.join(spans, (F.col(id_col) == F.col("__span_doc")) & (F.xxhash64(text) == F.col("__span_text")), "left")
     changed = F.when(F.col("__spans").isNotNull() & text.isNotNull(), left).otherwise(text)
     return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])
