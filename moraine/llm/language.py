@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -163,7 +163,8 @@ def fit_language_model(docs: DataFrame, learnable: Column, sample_rows: int = 16
     """Train on at most `sample_rows` labelled rows (a documented bound), as many of each language as there are.
 
     The sample is the rows with the smallest hash of the text within a share per language that follows its count, so
-    no language is sorted in one task and a hot one costs no more than the others. Texts are used whole.
+    no language is sorted in one task and a hot one costs no more than the others. A text that many rows repeat is in it once
+    at most. Texts are used whole.
     """
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()}
@@ -172,7 +173,7 @@ def fit_language_model(docs: DataFrame, learnable: Column, sample_rows: int = 16
     each = max(1, sample_rows // len(counts))
     spread = (F.xxhash64("text", "lang").bitwiseAND((1 << 52) - 1)) / float(1 << 52)
     share = F.element_at(F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, each / n))]), F.col("lang"))
-    found = rows.where(F.col("lang").isin(list(counts))).withColumn("u", spread).where(F.col("u") < share).orderBy("u", "text").limit(sample_rows).collect()
+    found = rows.where(F.col("lang").isin(list(counts))).withColumn("u", spread).where(F.col("u") < share).dropDuplicates(["text", "lang"]).orderBy("u", "text").limit(sample_rows).collect()
     return train([(r["text"], r["lang"]) for r in found])
 
 
@@ -186,11 +187,12 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     shared = spark.sparkContext.broadcast(model)
     rows = docs.drop("lang_pred", "score", "rejected")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
         for b in batches:
-            got = [predict(t) for t in b[text_col]]
-            yield b.assign(lang_pred=[x[0] for x in got], score=[x[1] for x in got], rejected=[x[2] for x in got])
+            got = [predict(t) for t in b.column(text_col).to_pylist()]
+            added = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, "lang_pred", "score", "rejected"])
 
     schema = StructType(list(rows.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,21 +146,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Rows whose k-word shingle sets have 100 * intersection >= percent * union are linked. component_id is the smallest
     doc_id that links reach, the row's own included; kept: doc_id is component_id. Rows without words or
     text have no shingles and no links. Rows without an id have no links, a null component_id and are kept. Repeated rows
-    each give a row; rows that share an id but not a text are one node where either links. Extra columns are ignored.
+    each give a row, and are compared once; rows that share an id but not a text are one node where either links. Extra columns are ignored.
     """
     spark = small_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 s = shingles(t, k)
                 out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, band_keys(s, bands) if len(s) else None))
-            yield pd.DataFrame(out, columns=["n", "digest", "bands"]).assign(doc_id=b["doc_id"].astype("Int64").reset_index(drop=True))[["doc_id", "n", "digest", "bands"]]
+            kinds = enumerate((pa.int32(), pa.binary(), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], kind) for i, kind in kinds)], ["doc_id", "n", "digest", "bands"])
 
-    sketched = materialize(rows.mapInPandas(sketch, "doc_id long, n int, digest binary, bands array<long>"), "sketch")
+    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, n int, digest binary, bands array<long>"), "sketch")
     with_set = sketched.where("n > 0 and doc_id is not null")
     nodes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     first = shared.where("node <> center").groupBy("node", "n").agg(F.min("center").alias("center"))
     wanted = shared.select("node").distinct()
-    texts = materialize(rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+    texts = materialize(rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "texts")
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

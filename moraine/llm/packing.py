@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +21,21 @@ SLOTS = "slot_length long, rank_from long, rank_to long, first_sequence long, sl
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of at most `capacity` ids of every document; only longer documents are cut, and then the first piece takes the remainder."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = end_id.to_bytes(4, "little")
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = encoder(tokenizer).ids(text or "") + end
                 n = len(ids) // 4
                 bounds = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]
                 out += [(doc, k, s, e - s, zlib.crc32(ids[4 * s : 4 * e])) for k, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False))]
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield got.assign(doc_id=got["doc_id"].astype("Int64"))
+            kinds = zip(("doc_id", "piece", "start", "length", "ids_crc32"), (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)
+            yield pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(kinds)})
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, PIECES)
+    return rows.mapInArrow(cut, PIECES)
 
 
 def length_patterns(counts: np.ndarray, capacity: int, most: int = 60_000) -> np.ndarray:

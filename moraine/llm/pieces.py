@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
@@ -252,25 +252,26 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     characters (or one longer text) and a bounded cache.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = codec(model).digests
         for b in batches:
-            got = pd.DataFrame(list(digests([t or "" for t in b["text"]])), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield got.assign(doc_id=b["doc_id"].astype("Int64").reset_index(drop=True))[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            n, ids, decoded = zip(*digests([t or "" for t in b.column("text").to_pylist()]), strict=True) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """All columns and the ids of the whole text as an array of integers (null text: an empty array)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(model).encode
         for b in batches:
-            yield b.assign(**{ids_col: [encode(t or "") for t in b[text_col]]})
+            ids = pa.array([encode(t or "") for t in b.column(text_col).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
     small_batches(docs.sparkSession)
     kept = docs.drop(ids_col)
-    return kept.mapInPandas(run, StructType(list(kept.schema.fields)).add(ids_col, ArrayType(IntegerType())))
+    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add(ids_col, ArrayType(IntegerType())))

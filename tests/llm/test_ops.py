@@ -133,6 +133,13 @@ def test_sentencepiece(docs, empty):
     assert len(pieces.encode_column(docs.limit(1), PIECES).first().ids)
 
 
+def test_large_ids_beside_nulls(spark):
+    rows = [(2**60 + 1, "some words here", "en"), (None, "mots", None), (2**60 + 3, None, "en")]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string, lang string"), {2**60 + 1, None, 2**60 + 3}
+    for out in (packing.pack_documents(df, BYTES, 64), pieces.encode_decode(df, PIECES), pieces.encode_column(df, PIECES), language.predict_languages(df, language.fit_language_model(df, F.lit(True)))):
+        assert {r.doc_id for r in out.collect()} == want
+
+
 def test_one_by_one_equals_rounds():
     codec = pieces.codec(PIECES)
     for t in ("thethethe", "aaaaaaaa", "international"):
@@ -175,6 +182,9 @@ def test_near_duplicates(spark, docs, empty):
     odd = near_dedup.near_duplicates(docs).collect()
     assert len(odd) == len(ROWS) and next(x for x in odd if x.doc_id is None).kept
     assert near_dedup.near_duplicates(empty).count() == 0
+    big = [(2**60 + 1, group[0]), (2**60 + 3, group[0] + " end"), (None, group[0]), *[(2**60 + 5, group[0] + " more")] * 300]
+    got = near_dedup.near_duplicates(spark.createDataFrame(big, "doc_id long, text string")).collect()
+    assert len(got) == len(big) and {(x.doc_id, x.component_id) for x in got} == {(i, i and 2**60 + 1) for i, _ in big}
     kept = near_dedup.drop_near_duplicates(df)
     assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, (_, c) in brute_components(rows, 5, 80).items() if i == c)
 
@@ -230,6 +240,9 @@ def test_secrets(spark, docs, empty):
             assert r.n_example >= 1  # AKIA... is held by four owners
     red = {r.doc_id: r.text for r in secrets.redact_secrets(both).collect()}
     assert "[SECRET]" in red[50] and f"AKIA{'B2' * 9}" in red[50] and red[0] == text[0] and red[6] is None
+    odd = [(None, f"token={SECRET}x", "s"), (70, f"é token={SECRET}y z", "s"), (70, "another text of the same id, and clean", "t")]
+    red = sorted((r.doc_id or 0, r.text) for r in secrets.redact_secrets(spark.createDataFrame(odd, "doc_id long, text string, source string")).collect())
+    assert red == [(0, "[SECRET]"), (70, odd[2][1]), (70, "é [SECRET] z")]
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
 
 
@@ -252,6 +265,9 @@ def test_substring_dedup(spark, docs, empty):
         assert TEXTS[4][s.start : s.stop] in TEXTS[3]
     cut = {r.doc_id: r.text for r in substring_dedup.drop_repeats(docs).collect()}
     assert cut[3] == TEXTS[3] and cut[15] == TEXTS[15] and len(cut[4]) < len(TEXTS[4]) and cut[6] is None
+    two = spark.createDataFrame([(1, PASSAGE), (2, "x " + PASSAGE + " tail"), (2, prose(200, 77)), (None, PASSAGE)], "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in substring_dedup.drop_repeats(two).collect()]
+    assert (2, prose(200, 77)) in left and (1, PASSAGE) in left and (None, PASSAGE) in left and (2, "x " + PASSAGE + " tail") not in left and len(left) == 4
     assert substring_dedup.repeated_spans(empty).count() == 0
     for seed in range(200):  # any shared passage of 51 words is met, whatever stands around it
         shared = prose(51, 1000 + seed)
