@@ -32,7 +32,8 @@ def found(text: Column, kind: int, pattern: str, guard: str | None = None) -> Co
         acc["m"].alias("m"), acc["s"].alias("s"),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"), matches.alias("m"), between.alias("s"))
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])
+    places = F.transform(matches, lambda _, i: i)  # none where a guard is met without a match
+    spans = F.aggregate(places, start, step, lambda acc: acc["out"])
     return F.when(text.rlike(guard or pattern), spans).otherwise(F.array().cast(NO_SPANS))
 
 

@@ -246,6 +246,14 @@ def test_secrets(spark, docs, empty):
     assert secrets.find_secrets(empty).count() == 0 and secrets.redact_secrets(empty).count() == 0
 
 
+def test_secrets_guard_without_match(spark):
+    texts = ["the secret: (see below)", "ends in password:", "token = ", "secret: ( then token=Ab3Ab3Ab3Ab3Ab3 and password:"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_assign, r.spans) for r in secrets.find_secrets(df).collect()}
+    assert got == {0: (0, ""), 1: (0, ""), 2: (0, ""), 3: (1, "assign:15:36")}
+    assert {r.doc_id: r.text for r in secrets.redact_secrets(df).collect()} == {**dict(enumerate(texts[:3])), 3: "secret: ( then [SECRET] and password:"}
+
+
 def test_shards(spark, docs, empty):
     store = sharding.ShardStore(spark, common.fresh_path(spark, "store"), target_bytes=1 << 20)
     for n in range(6):
