@@ -82,17 +82,25 @@ class ShardStore:
         return level
 
     def compact(self) -> dict:
-        """Merge the oldest fan_in runs of the lowest full tier until no tier is full; merged runs go to files of about target_bytes."""
+        """Merge fan_in runs of the lowest full tier until none can do with fewer files; merged runs go to files of about target_bytes.
+
+        Of a tier, the runs with the most files beyond their bytes are taken, older ones first: if these cannot do with fewer
+        files together, no other fan_in of them can. Every merge leaves fewer files, so it ends.
+        """
+        def merged_files(runs: list[dict]) -> int:
+            return max(1, -(-sum(r["bytes"] for r in runs) // self.target_bytes))
+
         now = self.manifest()
         while True:
             tiers: dict[int, list[dict]] = {}
             for run in now["runs"]:
                 tiers.setdefault(self.tier(run["bytes"]), []).append(run)
-            full = [runs[: self.fan_in] for _, runs in sorted(tiers.items()) if len(runs) >= self.fan_in and any(r["files"] > -(-r["bytes"] // self.target_bytes) for r in runs[: self.fan_in])]
+            picked = [sorted(runs, key=lambda r: r["bytes"] - r["files"] * self.target_bytes)[: self.fan_in] for _, runs in sorted(tiers.items()) if len(runs) >= self.fan_in]
+            full = [runs for runs in picked if sum(r["files"] for r in runs) > merged_files(runs)]
             if not full:
                 return now
             merging = full[0]
-            files = max(1, -(-sum(r["bytes"] for r in merging) // self.target_bytes))
+            files = merged_files(merging)
             folder = f"run-{uuid.uuid4().hex}"
             self._read(merging).coalesce(files).write.parquet(str(self._path(folder)))
             old = {r["folder"] for r in merging}

@@ -266,6 +266,28 @@ def test_shards(spark, docs, empty):
     assert sharding.shard_documents(empty, common.fresh_path(spark, "none")).read() is None
 
 
+def test_shards_of_one_file(spark):
+    store = sharding.ShardStore(spark, common.fresh_path(spark, "store"), target_bytes=1 << 20, smallest=1 << 12)
+    for n in range(16):
+        rows = [(n, i, hashlib.sha256(f"{n} {i}".encode()).hexdigest()) for i in range(20)]
+        store.append(spark.createDataFrame(rows, "n long, doc_id long, text string").coalesce(1))
+        assert len(store.manifest()["runs"]) < 2 * 4 and all(r["files"] == 1 for r in store.manifest()["runs"])
+    (run,) = store.manifest()["runs"]  # four of tier 0 to one of tier 1, four of these to one of tier 2
+    assert store.tier(run["bytes"]) == 2
+    assert sorted((r.n, r.doc_id) for r in store.read().collect()) == [(n, i) for n in range(16) for i in range(20)]
+
+
+def test_full_files_do_not_hold_up_small_ones(spark):
+    store = sharding.ShardStore(spark, common.fresh_path(spark, "store"), target_bytes=1 << 12, smallest=1 << 20)
+    words = lambda seed, n: spark.createDataFrame([(i, hashlib.sha256(f"{seed} {i}".encode()).hexdigest()) for i in range(n)], "doc_id long, text string").coalesce(1)
+    for n in range(4):
+        store.append(words(n, 80))
+    assert len(store.manifest()["runs"]) == 4  # each fills its file, so nothing is to be gained
+    for n in range(4, 8):
+        store.append(words(n, 3))
+    assert len(store.manifest()["runs"]) == 5 and store.read().count() == 4 * 80 + 4 * 3
+
+
 def test_substring_dedup(spark, docs, empty):
     found = {r.doc_id: r for r in substring_dedup.repeated_spans(docs).collect()}
     assert 4 in found and found[4].first_docs == [3] and 3 not in found and 1 in found and 0 not in found
