@@ -235,7 +235,7 @@ dialects("aes_roundtrip", "select doc_id, cast(aes_decrypt(aes_encrypt(text, '01
 text("retry_schedule", "select n, cast(least(100 * power(2.0e0, n), 5000) as bigint) as delay_ms from (select distinct n_nationkey as n from nation) x")
 text("retryable_errors", "select e.err, count(*) as n, e.err in ('E1', 'E3', 'E5') as retryable from error_log e group by e.err")
 frame("fnv1a_checksum", codecs.checksums, None, "kv_log")
-frame("block_crc32", lambda b: b.select("file_id", "block_no", F.crc32(F.concat("first_key", "last_key")).alias("crc")), None, "blocks")
+frame("block_crc32", lambda r: records.block_checksums(records.block_entries(r)), None, "kv_runs")
 frame("zlib_roundtrip", codecs.zlib_roundtrip, "select doc_id, true as same from sizes where text is not null", "sizes")
 frame("compression_stats", codecs.compression_stats, None, "sizes")
 frame("bloom_build", codecs.bloom_filters, None, "kv_runs")

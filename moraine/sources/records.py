@@ -1,24 +1,26 @@
 """Binary records of the write-ahead log and sorted table files, as columns and as Spark data sources.
 
 A record is a little-endian header (key length u32, value length u32, timestamp u64, flags u8) and key and value. A sorted
-table file holds records in key order and a footer (record count u64, magic u32). Damaged or zero-filled tails end a replay.
+table file holds records in key order and a footer (record count u64, CRC32 of the records u32, magic u32). Damaged or zero-filled
+tails end a replay; a table file whose records do not meet their checksum is refused.
 """
 
 from __future__ import annotations
 
 import struct
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-HEAD, FOOT = struct.Struct("<IIQB"), struct.Struct("<QI")
-#: Fixed value: the magic of table files.
-MAGIC = 0xCAFEBABE
+HEAD, FOOT = struct.Struct("<IIQB"), struct.Struct("<QII")
+#: The magics of table files and of blocks; the bytes of entries that a block is filled to.
+MAGIC, BLOCK_MAGIC, BLOCK_BYTES = 0xCAFEBABE, 0x424C4F43, 4096
 SCHEMA = "k string, v string, ts long, meta int"
 
 
@@ -38,13 +40,37 @@ def decode(data: bytes) -> Iterator[tuple[bytes, bytes, int, int]]:
         at += n + m
 
 
+def little(number: Column, size: int) -> Column:
+    """The hex of a little-endian field of `size` bytes."""
+    h = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*[F.substring(h, i, 2) for i in range(2 * size - 1, 0, -2)])
+
+
 def encoded(log: DataFrame) -> DataFrame:
     """The record of every row, by built-in functions: little-endian fields are reversed hex."""
-    def little(c: str, width: int):  # noqa: ANN202
-        h = F.lpad(F.hex(F.col(c) if c in ("ts", "meta") else F.octet_length(c)), width, "0")
-        return F.concat(*[F.substring(h, i, 2) for i in range(width - 1, 0, -2)])
+    sizes = [little(F.octet_length(c), 4) for c in ("k", "v")]
+    return log.select("*", F.unhex(F.concat(*sizes, little(F.col("ts"), 8), little(F.col("meta"), 1), F.hex("k"), F.hex("v"))).alias("record"))
+
+
+def block_entries(runs: DataFrame) -> DataFrame:
+    """file_id, block_no and k, v, ts, meta of every entry: the files and blocks of the view `blocks`, entry by entry. A null value counts as empty."""
+    files = runs.select((F.col("run_id") * 100 + F.floor(F.substring("k", 6, 6).cast("int") / 30.0)).cast("int").alias("file_id"), "k", F.coalesce("v", F.lit("")).alias("v"), "ts", "meta")
+    before = Window.partitionBy("file_id").orderBy("k", "ts").rowsBetween(Window.unboundedPreceding, -1)
+    size = HEAD.size + F.length("k") + F.length("v")
+    return files.select("file_id", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / BLOCK_BYTES).cast("int").alias("block_no"), "k", "v", "ts", "meta")
+
+
+def block_checksums(entries: DataFrame) -> DataFrame:
+    """file_id, block_no, crc: the CRC32 of the block's header (magic, entries, least and largest ts) and its records by k and ts."""
+    rows = encoded(entries).groupBy("file_id", "block_no").agg(F.array_sort(F.collect_list(F.struct("k", "ts", "record"))).alias("rs"), F.count("*").alias("n"), F.min("ts").alias("low"), F.max("ts").alias("high"))
+    head = F.concat(little(F.lit(BLOCK_MAGIC), 4), little(F.col("n"), 4), little(F.col("low"), 8), little(F.col("high"), 8))
+    return rows.select("file_id", "block_no", F.crc32(F.unhex(F.concat(head, F.array_join(F.transform("rs", lambda r: F.hex(r["record"])), "")))).alias("crc"))
+
 
-    return log.select("*", F.unhex(F.concat(little("k", 8), little("v", 8), little("ts", 16), little("meta", 2), F.hex("k"), F.hex("v"))).alias("record"))
+def verify_checksums(entries: DataFrame, stored: DataFrame) -> DataFrame:
+    """file_id, block_no, stored, crc, intact of every block of either side; a block without entries or without a stored sum is not intact."""
+    out = stored.select("file_id", "block_no", F.col("crc").alias("stored")).join(block_checksums(entries), ["file_id", "block_no"], "full")
+    return out.select("file_id", "block_no", "stored", "crc", F.coalesce(F.col("stored") == F.col("crc"), F.lit(False)).alias("intact"))
 
 
 def encode_log(log: DataFrame) -> DataFrame:
@@ -92,10 +118,12 @@ class RecordReader(DataSourceReader):
         with open(partition.path, "rb") as f:
             data = f.read()
         if self.footer:
-            count, magic = FOOT.unpack(data[-FOOT.size :])
+            _, crc, magic = FOOT.unpack(data[-FOOT.size :])
             if magic != MAGIC:
                 raise ValueError(f"{partition.path} is no table file")
             data = data[: -FOOT.size]
+            if zlib.crc32(data) != crc:
+                raise ValueError(f"{partition.path} does not meet its checksum")
         for k, v, ts, meta in decode(data):
             yield k.decode(), v.decode(), ts, meta
 
@@ -132,10 +160,9 @@ def write_table_file(rows: list[tuple[str, str, int, int]], path: str) -> None:
     """A sorted table file of rows in strictly rising key order."""
     if any(a[0] >= b[0] for a, b in zip(rows, rows[1:], strict=False)):
         raise ValueError("keys must rise")
+    data = b"".join(encode(k.encode(), v.encode(), ts, meta) for k, v, ts, meta in rows)
     with open(path, "wb") as f:
-        for k, v, ts, meta in rows:
-            f.write(encode(k.encode(), v.encode(), ts, meta))
-        f.write(FOOT.pack(len(rows), MAGIC))
+        f.write(data + FOOT.pack(len(rows), zlib.crc32(data), MAGIC))
 
 
 def table_roundtrip(log: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Every query against DuckDB on the smallest tables, and the operators against plain Python models."""
 
 import random
+import struct
+import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from moraine import catalog, views
 from moraine.config import PRESETS, Options
@@ -169,6 +172,34 @@ def test_record_sources(spark, tmp_path):
         records.write_table_file(rows_ + rows_[:1], str(tmp_path / "b.sst"))
 
 
+def test_block_checksums(spark, tmp_path):
+    entries = records.block_entries(views.view(spark, SF, "kv_runs")).cache()
+    blocks = {}
+    for r in sorted(entries.collect(), key=lambda r: (r.file_id, r.block_no, r.k, r.ts)):
+        blocks.setdefault((r.file_id, r.block_no), []).append(r)
+    want = {}
+    for at, rs in blocks.items():
+        head = struct.pack("<IIQQ", records.BLOCK_MAGIC, len(rs), min(r.ts for r in rs), max(r.ts for r in rs))
+        want[at] = zlib.crc32(head + b"".join(records.encode(r.k.encode(), r.v.encode(), r.ts, r.meta) for r in rs))
+    stored = catalog.QUERIES["block_crc32"](spark, SF)
+    assert {(r.file_id, r.block_no): r.crc for r in stored.collect()} == want
+    layout = {(r.file_id, r.block_no): r.n for r in views.view(spark, SF, "blocks").collect()}
+    assert layout == {at: len(rs) for at, rs in blocks.items()}
+    assert records.verify_checksums(entries, stored).where("not intact").count() == 0
+    hit = next(rs for rs in blocks.values() if len(rs) > 2)[1]
+    inner = F.col("ts") == hit.ts
+    for c, new in (("v", F.concat("v", F.lit("x"))), ("meta", F.col("meta") + 1), ("k", F.concat("k", F.lit("x"))), ("ts", F.col("ts") + 1000000)):
+        bad = records.verify_checksums(entries.withColumn(c, F.when(inner, new).otherwise(F.col(c))), stored).where("not intact").collect()
+        assert [(r.file_id, r.block_no) for r in bad] == [(hit.file_id, hit.block_no)]
+    assert records.verify_checksums(entries.where(f"file_id <> {hit.file_id}"), stored).where("not intact and crc is null").count() > 0
+    records.register(spark)
+    records.write_table_file([("a", "10", 1, 0), ("b", "20", 2, 0), ("c", "30", 3, 0)], str(tmp_path / "a.sst"))
+    data = (tmp_path / "a.sst").read_bytes()
+    (tmp_path / "a.sst").write_bytes(data.replace(b"b20", b"b21"))
+    with pytest.raises(Exception, match="checksum"):
+        spark.read.format("moraine_table").load(str(tmp_path / "*.sst")).collect()
+
+
 def test_options():
     base = Options.preset()
     assert base.problems() == [] and base.compression == "zlib" and not base.sync_writes
