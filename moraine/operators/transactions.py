@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.storage import shared_root
+
 
 def conflicts(ops: DataFrame, mode: str = "read") -> DataFrame:
     """txn_ids of which a key read (mode="advanced": or written) was committed by another with read_ts < its commit_ts < own commit_ts."""
@@ -19,7 +19,7 @@ def conflicts(ops: DataFrame, mode: str = "read") -> DataFrame:
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint()
 
 

@@ -8,7 +8,6 @@ tails end a replay; a table file whose records do not meet their checksum is ref
 from __future__ import annotations
 
 import struct
-import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from moraine.storage import fresh_path
+
 HEAD, FOOT = struct.Struct("<IIQB"), struct.Struct("<QII")
 #: The magics of table files and of blocks; the bytes of entries that a block is filled to.
 MAGIC, BLOCK_MAGIC, BLOCK_BYTES = 0xCAFEBABE, 0x424C4F43, 4096
@@ -170,7 +171,6 @@ def table_roundtrip(log: DataFrame) -> DataFrame:
     from moraine.operators.log import latest
 
     spark = log.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{root}/tables-{spark.sparkContext.applicationId}"
-    segments(latest(log), 8).write.mode("overwrite").parquet(path)
+    path = fresh_path(spark, "tables")
+    segments(latest(log), 8).write.parquet(path)
     return replay(spark.read.parquet(path))

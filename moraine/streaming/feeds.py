@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moraine.storage import fresh_path
+
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
@@ -16,14 +15,9 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 4).parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
 def _run(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there now: each trigger's complete result replaces the table in the shared folder."""
-    path = _shared(stream.sparkSession, "stream")
+    path = fresh_path(stream.sparkSession, "stream")
     replace = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/result")
     query = stream.writeStream.outputMode(mode).foreachBatch(replace).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -41,7 +35,7 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_apply_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """foreachBatch: each micro-batch is one atomic generation of the table, keyed by batch id, so a replayed batch changes nothing."""
-    path = _shared(spark, "generations")
+    path = fresh_path(spark, "generations")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
