@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW = "spark.sql.execution.arrow."
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,7 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """All tables that operators write inside go when it ends: write what is to stay to a path from outside."""
+    path = fresh_path(spark, "scope")
+    token = _SCOPE.set(path)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        delete(spark, path)
 
 
 def materialize(df: DataFrame, label: str, scratch: Scratch | None = None) -> DataFrame:
