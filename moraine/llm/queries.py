@@ -14,7 +14,7 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, kdtree.top_inner_products, "long")
+    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5, kdtree.TopProducts())
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_count.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), common.fresh_path(spark, "token-cache"))
+    """The cache is the folder in moraine.tokenCache, or a new one where that is not set."""
+    cache = spark.conf.get("moraine.tokenCache", None) or common.fresh_path(spark, "token-cache")
+    return token_count.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def op8_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, tiles.top_products, "double", nonzero=True)
+    return blocks.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, tiles.Products(), nonzero=True)
 
 
 def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,6 @@ _ASSIGNED = f"regexp_extract(m, '{secrets.ASSIGN.replace(chr(39), chr(39) * 2)}'
 _NAMES = "['assign', 'access', 'hex', 'random'][kind + 1]"
 
 
-
 def _nearest_sql(vector: str, every: int, k: int, usable: str) -> str:
     return f"""
 with v as (select row_number() over () as r, vec_id, {vector} as e from embeddings
@@ -103,8 +104,8 @@ with base as (
   union all {_spans_sql(2, secrets.HEX, "m", "true")}),
 more as ({_spans_sql(3, secrets.RANDOM, "m", "regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]')")}),
 spans as (select * from base union all select * from more where not exists (select 1 from base b where b.doc_id = more.doc_id and b.start < more.stop and more.start < b.stop)),
-held as (select v as hv, count(distinct source) as owners from spans group by v),
-classed as (select s.*, owners >= 3 as example, owners < 3 and regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') as live from spans s join held on v = hv),
+held as (select v as hv, count(distinct source) >= 3 or count(distinct doc_id) >= 100 as example from spans group by v),
+classed as (select s.*, example, not example and regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') as live from spans s join held on v = hv),
 kept as (select * from classed where kind < 3 or live)
 select d.doc_id, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
   sha256(coalesce(string_agg(case when kind < 3 then concat({_NAMES}, ':', start, ':', stop) end, ',' order by start, kind, stop), '')) as base_sha256,
