@@ -2,7 +2,9 @@
 
 For a byte-level BPE with the usual split pattern the ids come from the same vocabulary held as ranks,
 with possessive quantifiers in the pattern, which is about four times as fast and gives the same ids (the
-tests hold one against the other); any other vocabulary is encoded by the library that the file is for.
+tests hold one against the other). Its pattern backtracks in white space only; a long run of white space, which would exhaust
+the matcher's stack, is split off before and encoded as the one piece that the pattern would make of it. Any other vocabulary
+is encoded by the library that the file is for.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from array import array
 
 #: The split pattern of byte-level BPE, written without backtracking.
 FAST_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: The characters of the Unicode property White_Space, which is what the pattern means by white space.
+WHITE_SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"(?<![{WHITE_SPACE}])[{WHITE_SPACE}]{{1000,}}")
 _ENCODERS: dict[str, "JsonEncoder | PieceEncoder"] = {}
 
 
@@ -48,18 +53,28 @@ class JsonEncoder:
             ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
             self.fast = tiktoken.Encoding(path, pat_str=FAST_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def ordinary(self, text: str) -> list[int]:
+        """Ids of a text without special strings. A long run of white space is one piece, but for its last character where more text follows."""
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += self.fast.encode_ordinary(text[at : run.start()])
+            out += self.fast._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return out + self.fast.encode_ordinary(text[at:]) if at else self.fast.encode_ordinary(text)
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if self.fast is None:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not any(s in text for s in self.special):
-            return array("I", self.fast.encode_ordinary(text)).tobytes()
-        return b"".join(self.special[x] if k % 2 else array("I", self.fast.encode_ordinary(x)).tobytes() for k, x in enumerate(self.cut.split(text)))
+            return array("I", self.ordinary(text)).tobytes()
+        return b"".join(self.special[x] if k % 2 else array("I", self.ordinary(x)).tobytes() for k, x in enumerate(self.cut.split(text)))
 
     def count(self, text: str) -> int:
         if self.fast is None or any(s in text for s in self.special):
             return len(self.ids(text)) // 4
-        return len(self.fast.encode_ordinary(text))
+        return len(self.ordinary(text))
 
 
 class PieceEncoder:
