@@ -3,8 +3,9 @@
 One pass makes a sketch of every row: set size, set digest and band keys of a signature that keeps the minimum and the maximum
 under each permutation (two values for one hash evaluation). Rows of equal sets form a class; one node stands for
 it. Nodes that share a band key are candidates. First each node is held against its smallest candidate, which
-settles most groups with one check a node. What band groups then still hold of different components is checked group by
-group, pair by pair across components, in blocks of bounded size; only links that join two components are returned.
+settles most groups with one check a node. What a band group then still holds of different components is checked pair by
+pair across components: the nodes of its largest component against the others, and these against each other, in blocks
+that are bounded by rows and by the size of their sets. Only links that join two components are returned.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moraine.llm.common import materialize, small_batches
+from moraine.llm.common import Scratch, bounded_batches, free_name, materialize
 from moraine.llm.components import components
 
-ROWS, MISS, STRIP, BLOCK = 5, 1e-6, 8192, 512
+ROWS, MISS, STRIP = 5, 1e-6, 8192
+#: A block holds about so many nodes, and about so many shingles (or one larger set).
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -140,17 +143,16 @@ def link_group(nodes: list[int], parts: list[int], labels: list[int], sets: list
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text_key (a hash of the text), n_shingles, component_id, kept; see near_duplicates.
 
-    Rows whose k-word shingle sets have 100 * intersection >= percent * union are linked. component_id is the smallest
-    doc_id that links reach, the row's own included; kept: doc_id is component_id. Rows without words or
-    text have no shingles and no links. Rows without an id have no links, a null component_id and are kept. Repeated rows
-    each give a row, and are compared once; rows that share an id but not a text are one node where either links. Extra columns are ignored.
+    Rows that share an id but not a set of shingles are in the classes of their own sets.
     """
-    spark = small_batches(docs.sparkSession)
+    spark = bounded_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(spark)
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key.alias("text_key"), F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,44 +161,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
                 s = shingles(t, k)
                 out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None, band_keys(s, bands) if len(s) else None))
             kinds = enumerate((pa.int32(), pa.binary(), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], kind) for i, kind in kinds)], ["doc_id", "n", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array([x[i] for x in out], kind) for i, kind in kinds)], ["doc_id", "text_key", "n", "digest", "bands"])
 
-    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, n int, digest binary, bands array<long>"), "sketch")
+    sketched = materialize(rows.mapInArrow(sketch, "doc_id long, text_key long, n int, digest binary, bands array<long>"), "sketch")
     with_set = sketched.where("n > 0 and doc_id is not null")
-    nodes = materialize(with_set.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = with_set.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # the number of a node is stored with it, so it stays what it is
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "of.doc_id", "of.text_key", "n", "bands"), "nodes", scratch)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).where("m > 1")
-    buckets = materialize(buckets, "buckets")
-    shared = materialize(keyed.join(buckets.select("key", "center"), "key"), "members")
+    buckets = materialize(buckets, "buckets", scratch)
+    shared = materialize(keyed.join(buckets.select("key", "center"), "key"), "members", scratch)
 
     first = shared.where("node <> center").groupBy("node", "n").agg(F.min("center").alias("center"))
-    wanted = shared.select("node").distinct()
-    texts = materialize(rows.join(wanted, rows["doc_id"] == wanted["node"], "left_semi").select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node", "text"]), "texts")
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
+    texts = rows.join(wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))).select("node", "text").dropDuplicates(["node"])
+    texts = materialize(texts, "texts", scratch)
 
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        center, center_set = None, None
         for b in batches:
-            out, center, center_set = [], None, None
+            out = []
             for n, c, text, center_text in zip(b["node"], b["center"], b["text"], b["center_text"], strict=True):
-                if c != center or center_set[0] != center_text:
-                    center, center_set = c, (center_text, shingles(center_text, k))
-                x, y = shingles(text, k), center_set[1]
-                inter = len(x) + len(y) - len(np.union1d(x, y))
-                if len(x) and similar(inter, len(x), len(y), percent):
+                if c != center:
+                    center, center_set = c, shingles(center_text, k)
+                x = shingles(text, k)
+                inter = len(x) + len(center_set) - len(np.union1d(x, center_set))
+                if similar(inter, len(x), len(center_set), percent):
                     out.append((c, n))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     pairs = first.join(texts, "node").join(texts.select(F.col("node").alias("center"), F.col("text").alias("center_text")), "center")
-    links = materialize(pairs.select("node", "center", "text", "center_text").mapInPandas(confirm, "a long, b long"), "links")
-    label = components(links)
+    links = materialize(pairs.select("node", "center", "text", "center_text").mapInPandas(confirm, "a long, b long"), "links", scratch)
+    label = components(links, scratch)
 
-    left = shared.select("node", "key").join(label, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
+    left = shared.select("node", "n", "key").join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
     open_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    one_each = buckets.join(open_keys, "key").groupBy("m", "center", "members").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    one_each = materialize(one_each, "open")
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    inside = left.join(one_each, "key").withColumn("part", part)
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    inside = inside.select("node", "label", "key", "part", each.alias("other")).select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    one_each = buckets.join(open_keys, "key").groupBy("m", "center", "members").agg(F.min("key").alias("key")).select("key")
+    left = materialize(left.join(one_each, "key", "left_semi"), "open", scratch)
+    # the largest component of a group is one side, the rest the other; each side is dealt into blocks
+    most = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
+    left = left.join(materialize(most, "largest", scratch), "key").withColumn("rest", F.col("label") != F.col("top"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sides = materialize(left.groupBy("key", "rest").agg(blocks.alias("blocks")), "sides", scratch)
+    sides = sides.groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("b_rest"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("b_top"))
+    dealt = F.xxhash64("node", F.lit(1))
+    part = F.when(F.col("rest"), F.pmod(dealt, F.col("b_rest"))).otherwise(F.col("b_rest") + F.pmod(dealt, F.col("b_top"))).cast("int")
+    inside = left.join(sides, "key").withColumn("part", part)
+    every = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("b_rest") + F.col("b_top") - 1).otherwise(F.col("b_rest") - 1))
+    inside = inside.select("node", "label", "key", "part", F.explode(every).alias("other")).select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
 
     def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         if g["label"].nunique() < 2:
@@ -205,15 +218,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         found = link_group(g["node"].tolist(), g["part"].tolist(), g["label"].tolist(), sets, percent, key[1] != key[2])
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    more = materialize(inside.join(texts, "node").groupBy("key", "p", "q").applyInPandas(settle, "a long, b long"), "links")
-    label = components(links.union(more))
-    named = nodes.join(label, "node", "left").select(F.col("digest").alias("set_digest"), F.coalesce("label", "node").alias("component"))
-    out = sketched.select("doc_id", "n", "digest").join(materialize(named, "components"), (F.col("digest") == F.col("set_digest")) & F.col("doc_id").isNotNull(), "left")
+    more = materialize(inside.join(texts, "node").groupBy("key", "p", "q").applyInPandas(settle, "a long, b long"), "links", scratch)
+    label = components(links.union(more), scratch)
+    named = nodes.join(label, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
+    named = materialize(named.join(least, "label").select(F.col("digest").alias("set_digest"), "component"), "components")
+    scratch.drop()
+    out = sketched.select("doc_id", "text_key", "n", "digest").join(named, (F.col("digest") == F.col("set_digest")) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Rows whose k-word shingle sets have 100 * intersection >= percent * union are linked. component_id is the smallest
+    doc_id that links reach, the row's own included; kept: doc_id is component_id. Rows without words or
+    text have no shingles and no links. Rows without an id have no links, a null component_id and are kept. Repeated rows
+    each give a row, and are compared once; rows that share an id but not a text are linked each by its own text. Extra columns are
+    ignored; an empty table gives no rows.
+    """
+    return classes(docs, k, percent, id_col, text_col).drop("text_key")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those of which a near duplicate with a smaller id stays; rows that repeat a kept id stay."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone_id"), "left_anti")
+    """The rows of docs without those of which a near duplicate with a smaller id stays.
+
+    Rows go by id and text: a text that has no near duplicate stays, whatever else has its id. Rows that repeat a kept row stay, as do
+    rows without an id, a text or words; extra columns stay as they are; an empty table gives no rows.
+    """
+    doc, key = (free_name(docs, f"gone_{n}") for n in ("doc", "text"))
+    gone = classes(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(key)), "left_anti")
