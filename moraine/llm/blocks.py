@@ -1,17 +1,36 @@
-"""A stated query set against all rows, in blocks: queries and candidates meet as (query block, chunk) groups of bounded size."""
+"""A stated query set against all rows, in blocks: blocks of queries meet shards of rows, each packed into one row of bounded size.
+
+Shards are built once and stored with what the search needs of them (trees, codes). One shard, a random part of all rows, is
+searched first; every query's kth best score there goes with it to all other shards, which give only what can still be among the best.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HITS = "query_id long, query_hash long, own_score {0}, vec_id long, score {0}"
-#: (query ids, query matrix, candidate ids, candidate matrix, k) -> (query index, candidate ids, scores) of at least the k best of each query, and each query's score with itself
-Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+from moraine.llm.common import Scratch, bounded_batches, materialize
+
+
+class Method(Protocol):
+    score: str  # the type of a score
+
+    def build(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -> object:
+        """What a shard stores. ids: vec_ids, rows: distinct row numbers."""
+
+    def search(self, shard: object, rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query index, row, vec_id, score) of at least those rows of the shard that can be among the k best of each query, its own row left out.
+
+        least: for each query a score that k rows elsewhere reach at least, or the least possible one.
+        """
+
+    def lowest(self) -> float | int:
+        """The least possible score."""
 
 
 def usable(vector: Column, nonzero: bool = False) -> Column:
@@ -21,37 +40,73 @@ def usable(vector: Column, nonzero: bool = False) -> Column:
     return ok & F.exists(vector, lambda x: x != 0) if nonzero else ok
 
 
-def search(vectors: DataFrame, queries: Column, k: int, kernel: Kernel, score: str, nonzero: bool = False, block: int = 1024, chunk: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int, method: Method, nonzero: bool = False, shard_bytes: int = 16 << 20, least_shard: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best candidates of each query row, ties to the smaller vec_id.
 
-    Candidates are all usable rows but the query's own row: one of k + 1 hits with the query's id and its score with itself
-    is left out, so a repeated row stays a candidate. Query rows that repeat id and vector give one result; rows of
-    the same id with other vectors give a result each. Rows without an id take no part, and only
-    vectors of the query's length are compared. Groups hold about `block` queries and `chunk` candidates, dealt by a hash
-    of the row, so repeated vectors or ids do not gather. Each chunk gives k + 1 rows a query.
+    Candidates are all usable rows but the query's own row, so a repeated row stays a candidate; every query row has a
+    result of its own, repeated ones too. Rows without an id take no part, and only vectors of the query's length are compared.
+    Other columns are ignored; an empty table gives no rows. A shard and a block of queries hold about `shard_bytes` of doubles each, a shard
+    less where that keeps all cores busy, but not under `least_shard` rows. Rows are dealt by a hash of their number, which is stored with
+    them, so repeated vectors or ids do not gather and a lost task deals as before.
     """
-    v = F.col(vector_col)
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(v, nonzero)).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"))
-    asked = rows.where(queries).dropDuplicates(["vec_id", "v"]).select("vec_id", F.xxhash64("vec_id", "v").alias("query_hash"), "v", "dim")
-    n, q = rows.count(), asked.count()
-    chunks, blocks = max(1, -(-n // chunk)), max(1, -(-q // block))
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = asked.withColumn("qb", F.pmod("query_hash", F.lit(blocks)).cast("int")).withColumn("chunk", every(chunks))
-    right = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(chunks)).cast("int")).withColumn("qb", every(blocks))
-    hits = HITS.format(score)
-    names = [x.split()[0] for x in hits.split(", ")]
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame(columns=names)
-        i, ids, scores, own = kernel(np.stack(a["v"].to_list()), b["vec_id"].to_numpy(), np.stack(b["v"].to_list()), k + 1)
-        return pd.DataFrame(dict(zip(names, (a["vec_id"].to_numpy()[i], a["query_hash"].to_numpy()[i], own[i], ids, scores), strict=True)))
-
-    key = ["qb", "chunk", "dim"]
-    best = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(meet, hits)
-    by = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
-    top = best.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + 1)
-    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own_score"))
-    top = top.withColumn("own", own).withColumn("n_own", F.sum(F.col("own").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rank = (F.col("place") - F.least("n_own", F.lit(1))).cast("int")
-    return top.where(~(F.col("own") & (F.col("n_own") == 1))).select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    spark, v, scratch = vectors.sparkSession, F.col(vector_col), Scratch(vectors.sparkSession)
+    bounded_batches(spark)
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(v, nonzero))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.size(v).alias("dim"), F.coalesce(queries, F.lit(False)).alias("asked"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "vectors", scratch)
+    n, q, dim = rows.agg(F.count("*"), F.count_if("asked"), F.coalesce(F.max("dim"), F.lit(1))).first()
+    fits = max(1, shard_bytes // (8 * dim))
+    shards = max(1, -(-n // min(fits, max(least_shard, n // (3 * spark.sparkContext.defaultParallelism)))))
+    blocks = max(1, -(-q // fits))
+    deal = lambda m: F.pmod(F.xxhash64("row"), F.lit(m)).cast("int")
+    every = lambda m, first=0: F.explode(F.sequence(F.lit(first), F.lit(m - 1)))
+    hit = f"row long, hit_row long, vec_id long, score {method.score}"
+    names = [x.split()[0] for x in hit.split(", ")]
+
+    def build(g: pd.DataFrame) -> pd.DataFrame:
+        made = method.build(g["vec_id"].to_numpy(), g["row"].to_numpy(), np.stack(g["v"].to_list()), k)
+        return pd.DataFrame({"shard": g["shard"].iloc[:1], "dim": g["dim"].iloc[:1], "made": [pickle.dumps(made, protocol=5)]})
+
+    def gather(g: pd.DataFrame) -> pd.DataFrame:
+        packed = pickle.dumps((g["row"].to_numpy(), np.stack(g["v"].to_list())), protocol=5)
+        return pd.DataFrame({"block": g["block"].iloc[:1], "dim": g["dim"].iloc[:1], "asked": [packed]})
+
+    def meet(asked: bytes, made: bytes, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        query_rows, matrix = pickle.loads(asked)
+        floor = np.full(len(query_rows), method.lowest()) if least is None else least
+        i, hit_rows, ids, scores = method.search(pickle.loads(made), query_rows, matrix, floor, k)
+        return query_rows[i], hit_rows, ids, scores
+
+    def first_shard(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [meet(asked, made, None) for asked in a["asked"] for made in b["made"]]
+        return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)) if out else {c: [] for c in names})
+
+    def other_shards(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for asked, known in zip(a["asked"], a["known"], strict=True):
+            query_rows = pickle.loads(asked)[0]
+            have = {} if known is None else {x["row"]: x["kth"] for x in known}
+            least = np.array([have.get(r, method.lowest()) for r in query_rows.tolist()])
+            out += [meet(asked, made, least) for made in b["made"]]
+        return pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)) if out else {c: [] for c in names})
+
+    stored = rows.withColumn("shard", deal(shards)).groupBy("shard", "dim").applyInPandas(build, "shard int, dim int, made binary")
+    stored = materialize(stored, "shards", scratch)
+    asked = rows.where("asked").withColumn("block", deal(blocks)).groupBy("block", "dim").applyInPandas(gather, "block int, dim int, asked binary")
+    asked = materialize(asked, "queries", scratch)
+
+    sides = asked.groupBy("block", "dim").cogroup(stored.where("shard = 0").withColumn("block", every(blocks)).groupBy("block", "dim"))
+    found = materialize(sides.applyInPandas(first_shard, hit), "first-hits", scratch)
+    if shards > 1:
+        kth = found.groupBy("row").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("score"), asc=False).alias("scores")).where(F.col("n") >= k).select("row", F.get("scores", F.lit(k - 1)).alias("kth"))
+        known = kth.withColumn("block", deal(blocks)).groupBy("block").agg(F.collect_list(F.struct("row", "kth")).alias("known"))
+        left = asked.join(known, "block", "left").withColumn("shard", every(shards, 1))
+        right = stored.where("shard > 0").withColumn("block", every(blocks))
+        key = ["shard", "block", "dim"]
+        rest = materialize(left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(other_shards, hit), "hits", scratch)
+        found = found.unionByName(rest)
+    by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    out = materialize(best.join(rows.where("asked").select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score"), "nearest")
+    scratch.drop()
+    return out

@@ -1,4 +1,4 @@
-"""Exact top-k by inner product: KD-trees per shard, searched best-first under box-to-query bounds."""
+"""Exact top-k by inner product: KD-trees per shard, searched best-first under box-to-query bounds and a kth score passed on between shards."""
 
 from __future__ import annotations
 
@@ -6,7 +6,12 @@ import heapq
 
 import numpy as np
 
-LEAF, SHARD = 48, 2048
+LEAF = 48
+#: Components of integer vectors up to this size have inner products that doubles hold exactly, for up to 512 dimensions.
+SMALL = 2**22
+LONG = 2**63 - 1
+#: A class of large components spans so many powers of two; within a class, products do not leave the doubles.
+SPAN = 400
 
 
 class KDTree:
@@ -40,60 +45,121 @@ class KDTree:
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
 
-def quantised(vectors: np.ndarray) -> np.ndarray:
-    return np.floor(256 * vectors.astype(np.float64))
+def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(floor(256 * x) / 2**(SPAN * c) of every component, c of every row): c is 0 unless a row has components of over SPAN bits."""
+    x = vectors.astype(np.float64)
+    bits = np.frexp(np.abs(x).max(axis=1))[1] + 8
+    scale = np.maximum(0, bits - 1) // SPAN
+    with np.errstate(over="ignore"):
+        whole = np.floor(256 * x)
+    return np.where(scale[:, None] == 0, whole, np.ldexp(x, 8 - SPAN * scale[:, None])), scale
 
 
-def thinned(points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal points only the k smallest ids can be among the k best, so a common vector costs k points."""
+def integers(row: np.ndarray, scale: int) -> list[int]:
+    """The integers that a row of quantised stands for; scaled rows are exact but for what floor takes of components far below the largest."""
+    return [int(np.floor(x)) for x in row.tolist()] if not scale else [_shifted(x, SPAN * scale) for x in row.tolist()]
+
+
+def _shifted(x: float, by: int) -> int:
+    top, bottom = x.as_integer_ratio()
+    return (top << by) // bottom
+
+
+def thinned(points: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which points to keep: of equal ones only the k + 1 smallest ids can be among the k best other rows, so a common vector costs that many."""
     by = np.lexsort((ids, *points.T[::-1]))
-    points, ids = points[by], ids[by]
-    new = np.r_[True, (points[1:] != points[:-1]).any(axis=1)]
+    new = np.r_[True, (points[by][1:] != points[by][:-1]).any(axis=1)]
     nth = np.arange(len(ids)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return points[nth < k], ids[nth < k]
+    return by[nth <= k]
 
 
-def top_inner_products(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest integer inner products of floor(256 * component), ties to the smaller id.
+class TopProducts:
+    """The largest integer inner products of floor(256 * component), ties to the smaller id.
 
-    Doubles hold the products exactly up to 2**53; beyond that Python integers take over. A score beyond a long raises OverflowError.
+    Rows of small components have products that doubles hold exactly. Others are searched with the error of doubles added to all bounds,
+    and what comes near is computed in Python integers. A product beyond the range of a long counts as the nearest long.
     """
-    q, p = quantised(queries), quantised(vectors)
-    top = max(np.abs(q).max(), np.abs(p).max())
-    exact = np.float64 if top * top * q.shape[1] < 2**53 else object
-    if exact is object:
-        q, p = (np.array([[int(x) for x in r] for r in m.tolist()], dtype=object) for m in (q, p))
-        scores = q @ p.T
-        found = [sorted(zip((-s).tolist(), ids.tolist(), strict=True))[:k] for s in scores]
-        own = np.array([int(sum(x * x for x in r)) for r in q], dtype=np.int64)
-        i = np.repeat(np.arange(len(q)), [len(f) for f in found])
-        return i, np.array([d for f in found for _, d in f], dtype=np.int64), np.array([-s for f in found for s, _ in f], dtype=np.int64), own
-    p, ids = thinned(p, ids, k)
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q]
-    for start in range(0, len(p), SHARD):  # shard after shard; each starts from the kth score that the ones before have left
-        points, names = p[start : start + SHARD], ids[start : start + SHARD]
-        tree = KDTree(points)
-        points, names = points[tree.order], names[tree.order]
-        limits = tree.bounds(q)
-        for i, heap in enumerate(heaps):
-            bound, ahead = limits[i], [(-limits[i, 0], 0)]
-            while ahead:
-                negative, node = heapq.heappop(ahead)
-                if len(heap) == k and -negative < heap[0][0]:
-                    break
-                if (pair := tree.children[node]) is not None:
-                    for child in pair:
-                        heapq.heappush(ahead, (-bound[child], child))
-                    continue
-                a, b = tree.spans[node]
-                scores = points[a:b] @ q[i]
-                near = range(b - a) if len(heap) < k else np.flatnonzero(scores >= heap[0][0])
-                for j in near:
-                    x = (float(scores[j]), -int(names[a + j]))
-                    if len(heap) < k:
-                        heapq.heappush(heap, x)
-                    elif x > heap[0]:
-                        heapq.heapreplace(heap, x)
-    i = np.repeat(np.arange(len(q)), [len(h) for h in heaps])
-    flat = [x for h in heaps for x in h]
-    return i, np.array([-d for _, d in flat], dtype=np.int64), np.array([s for s, _ in flat], dtype=np.int64), (q * q).sum(axis=1).astype(np.int64)
+
+    score = "long"
+
+    def lowest(self) -> int:
+        return -LONG - 1
+
+    def build(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple]:
+        """A tree for each class of magnitude: (class, points, ids, rows, tree), class -1 for small components."""
+        points, scale = quantised(vectors)
+        scale = np.where(np.abs(points).max(axis=1) <= SMALL, np.where(scale == 0, -1, scale), scale) if points.shape[1] <= 512 else scale
+        out = []
+        for c in np.unique(scale).tolist():
+            mine = np.flatnonzero(scale == c)
+            mine = mine[thinned(points[mine], ids[mine], k)]
+            tree = KDTree(points[mine])
+            mine = mine[tree.order]
+            tree.order = None
+            held = points[mine]
+            if c == -1:  # small integers are stored as such
+                held = held.astype(np.result_type(*(np.min_scalar_type(int(x)) for x in (held.min(), held.max(), -1))))
+            out.append((c, held, ids[mine], rows[mine], tree))
+        return out
+
+    def search(self, shard: list[tuple], rows: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        q, q_scale = quantised(queries)
+        q_small = (np.abs(q).max(axis=1) <= SMALL) & (q_scale == 0)
+        heaps: list[list[tuple[int, int, int]]] = [[] for _ in q]
+        for c, points, ids, names, tree in shard:
+            points = points.astype(np.float64)
+            bounds = tree.bounds(q)
+            for i, heap in enumerate(heaps):
+                scores_of = self.exact if c == -1 and q_small[i] else self.near
+                error, shift = (0.0, 0) if scores_of == self.exact else (self.error(q[i], tree), SPAN * (max(c, 0) + int(q_scale[i])))
+                bound, ahead, known = bounds[i] + error, [(-bounds[i, 0] - error, 0)], int(least[i])
+                while ahead:
+                    negative, node = heapq.heappop(ahead)
+                    if len(heap) == k:
+                        known = max(known, heap[0][0])
+                    if self.longs(-negative, shift) < known:
+                        break
+                    if (pair := tree.children[node]) is not None:
+                        for child in pair:
+                            heapq.heappush(ahead, (-bound[child], child))
+                        continue
+                    a, b = tree.spans[node]
+                    for j, x in scores_of(points[a:b], q[i], known, error, shift, max(c, 0), int(q_scale[i])):
+                        if names[a + j] == rows[i]:
+                            continue
+                        new = (x, -int(ids[a + j]), int(names[a + j]))
+                        if len(heap) < k:
+                            heapq.heappush(heap, new)
+                        elif new > heap[0]:
+                            heapq.heapreplace(heap, new)
+        flat = [(i, name, -d, x) for i, h in enumerate(heaps) for x, d, name in h if x >= int(least[i])]
+        return tuple(np.array(col, dtype=np.int64) for col in zip(*flat, strict=True)) if flat else (np.zeros(0, dtype=np.int64),) * 4
+
+    @staticmethod
+    def longs(x: float, shift: int) -> float:
+        """x * 2**shift, no further from 0 than a long can be."""
+        if np.isnan(x):
+            return float(2**63)
+        return float(min(max(np.ldexp(x, shift), -(2.0**63)), 2.0**63))
+
+    @staticmethod
+    def error(q: np.ndarray, tree: KDTree) -> float:
+        """What doubles can miss of any inner product of q with a point of the tree, and of its bounds."""
+        widest = np.maximum(np.abs(tree.low[0]), np.abs(tree.high[0]))
+        return float(np.abs(q) @ widest) * len(q) * 2.0**-50 + 1e-290
+
+    @staticmethod
+    def exact(points: np.ndarray, q: np.ndarray, least: int, error: float, shift: int, c: int, q_scale: int) -> list[tuple[int, int]]:
+        scores = points @ q
+        return [(int(j), int(scores[j])) for j in np.flatnonzero(scores >= least)]
+
+    @staticmethod
+    def near(points: np.ndarray, q: np.ndarray, least: int, error: float, shift: int, c: int, q_scale: int) -> list[tuple[int, int]]:
+        with np.errstate(over="ignore"):
+            scores = np.ldexp(points @ q + error, shift)
+        whole = integers(q, q_scale)
+        out = []
+        for j in np.flatnonzero((scores >= least) | np.isnan(scores)):  # the error covers what doubles miss of least, too
+            x = sum(a * b for a, b in zip(integers(points[j], c), whole, strict=True))
+            out.append((int(j), min(max(x, -LONG - 1), LONG)))
+        return out
