@@ -2,17 +2,24 @@
 
 Everything is DataFrame writes and file-system metadata; rows are neither keyed nor shuffled, so a hot source
 costs nothing. A reader sees exactly the files that one manifest version lists: what a lost job leaves behind is never read.
+Merged runs stay, so older versions can be read, until `vacuum` removes what no kept version lists.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moraine.llm.common import hadoop_fs
+from moraine.llm.common import free_name, hadoop_fs
+
+
+class Overtaken(RuntimeError):
+    """Another writer has committed the version that this one was about to."""
 
 
 class ShardStore:
@@ -42,38 +49,64 @@ class ShardStore:
             reader.close()
 
     def _commit(self, before: dict, runs: list[dict]) -> dict:
-        """Atomic: a temporary file is renamed to the next version, which fails if another writer was first."""
-        after = {"version": before["version"] + 1, "runs": runs}
+        """Atomic: a whole temporary file gets the name of the next version, which fails if another writer was first.
+
+        On a local file system that is a hard link, on others a rename that does not overwrite, as HDFS has it. On an
+        object store without such a rename there must be one writer at a time.
+        """
+        after = {"version": before["version"] + 1, "at": time.time(), "runs": runs}
         temporary, final = self._path("_manifest", f".{uuid.uuid4().hex}"), self._path("_manifest", f"v{after['version']:08d}.json")
         out = self.fs.create(temporary, False)
         try:
             out.write(bytearray(json.dumps(after).encode()))
         finally:
             out.close()
-        if self.fs.exists(final) or not self.fs.rename(temporary, final):
+        try:
+            if not self._named(temporary, final):
+                raise Overtaken(f"another writer has committed version {after['version']}")
+        finally:
             self.fs.delete(temporary, False)
-            raise RuntimeError(f"another writer has committed version {after['version']}")
         return after
 
+    def _named(self, temporary, final) -> bool:
+        if self.fs.getScheme() != "file":
+            return not self.fs.exists(final) and self.fs.rename(temporary, final)
+        place = lambda p: self.spark._jvm.java.nio.file.Paths.get(p.toUri())
+        try:
+            self.spark._jvm.java.nio.file.Files.createLink(place(self.fs.makeQualified(final)), place(self.fs.makeQualified(temporary)))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     def _run(self, folder: str) -> dict:
         files = [s for s in self.fs.listStatus(self._path(*folder.split("/"))) if s.getPath().getName().endswith(".parquet")]
         return {"folder": folder, "bytes": sum(s.getLen() for s in files), "files": len(files)}
 
     def append(self, arrivals: DataFrame, arrival_col: str | None = None) -> dict:
-        """Write df's rows as new immutable shards; each value of arrival_col is an arrival (a run and a manifest version) of its own, in rising order."""
+        """Write df's rows as new immutable shards; each value of arrival_col is an arrival (a run and a manifest version) of its own, in rising order.
+
+        Rows are stored as they are, whatever is null or repeated in them; an arrival without rows commits nothing.
+        """
         batch = f"run-{uuid.uuid4().hex}"
         if arrival_col is None:
             arrivals.write.parquet(str(self._path(batch)))
             folders = [batch]
         else:
             arrivals.write.partitionBy(arrival_col).parquet(str(self._path(batch)))
-            folders = sorted(f"{batch}/{s.getPath().getName()}" for s in self.fs.listStatus(self._path(batch)) if s.isDirectory())
-        now = self.manifest()
+            folders = sorted((f"{batch}/{s.getPath().getName()}" for s in self.fs.listStatus(self._path(batch)) if s.isDirectory()), key=lambda f: (len(f), f))
         for folder in folders:
             if (run := self._run(folder))["files"]:
-                now = self._commit(now, [*now["runs"], run])
-                now = self.compact()
-        return now
+                while True:  # a run can follow any other, so a writer that was overtaken tries again on the newer version
+                    try:
+                        now = self.manifest()
+                        self._commit(now, [*now["runs"], run])
+                        break
+                    except Overtaken:
+                        continue
+                self.compact()
+        return self.manifest()
 
     def tier(self, size: int) -> int:
         level, edge = 0, self.smallest
@@ -85,13 +118,14 @@ class ShardStore:
         """Merge fan_in runs of the lowest full tier until none can do with fewer files; merged runs go to files of about target_bytes.
 
         Of a tier, the runs with the most files beyond their bytes are taken, older ones first: if these cannot do with fewer
-        files together, no other fan_in of them can. Every merge leaves fewer files, so it ends.
+        files together, no other fan_in of them can. Every merge leaves fewer files, so it ends. A merge stands if all its inputs
+        are still listed, however many runs have arrived meanwhile; else it is dropped and planned again.
         """
         def merged_files(runs: list[dict]) -> int:
             return max(1, -(-sum(r["bytes"] for r in runs) // self.target_bytes))
 
-        now = self.manifest()
         while True:
+            now = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for run in now["runs"]:
                 tiers.setdefault(self.tier(run["bytes"]), []).append(run)
@@ -100,13 +134,40 @@ class ShardStore:
             if not full:
                 return now
             merging = full[0]
-            files = merged_files(merging)
-            folder = f"run-{uuid.uuid4().hex}"
-            self._read(merging).coalesce(files).write.parquet(str(self._path(folder)))
-            old = {r["folder"] for r in merging}
-            now = self._commit(now, [*(r for r in now["runs"] if r["folder"] not in old), self._run(folder)])
-            for f in old:  # only after the commit; an older version can then no longer be read
-                self.fs.delete(self._path(*f.split("/")), True)
+            folder, old = f"run-{uuid.uuid4().hex}", {r["folder"] for r in merging}
+            self._read(merging).coalesce(merged_files(merging)).write.parquet(str(self._path(folder)))
+            run = self._run(folder)
+            while old <= {r["folder"] for r in now["runs"]}:
+                try:
+                    self._commit(now, [*(r for r in now["runs"] if r["folder"] not in old), run])
+                    break
+                except Overtaken:
+                    now = self.manifest()
+            else:
+                self.fs.delete(self._path(folder), True)
+
+    def vacuum(self, keep_seconds: float) -> list[int]:
+        """Remove the versions older than that but for the newest, and all runs that are older and that no kept version lists; returns the kept versions."""
+        edge, kept, held = time.time() - keep_seconds, [], set()
+        have = self.versions()
+        for version in have:
+            m = self.manifest(version)
+            if version == have[-1] or m["at"] >= edge:
+                kept.append(version)
+                held |= {r["folder"] for r in m["runs"]}
+            else:
+                self.fs.delete(self._path("_manifest", f"v{version:08d}.json"), False)
+        for s in self.fs.listStatus(self._path()):
+            name = s.getPath().getName()
+            if not name.startswith("run-") or s.getModificationTime() / 1000 > edge:
+                continue
+            inner = [f"{name}/{x.getPath().getName()}" for x in self.fs.listStatus(s.getPath()) if x.isDirectory()]
+            for folder in inner or [name]:
+                if folder not in held:
+                    self.fs.delete(self._path(*folder.split("/")), True)
+            if inner and not held & set(inner):
+                self.fs.delete(s.getPath(), True)
+        return kept
 
     def _read(self, runs: list[dict]) -> DataFrame:
         return self.spark.read.option("recursiveFileLookup", "true").parquet(*[str(self._path(*r["folder"].split("/"))) for r in runs])
@@ -123,6 +184,6 @@ def shard_documents(docs: DataFrame, root: str, arrivals: int = 8, target_bytes:
     Null ids (they hash alike), repeated rows, empty texts and extra columns are stored as they are; an empty table commits
     nothing and its store reads as None.
     """
-    store = ShardStore(docs.sparkSession, root, target_bytes)
-    store.append(docs.withColumn("__arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")), "__arrival")
+    store, arrival = ShardStore(docs.sparkSession, root, target_bytes), free_name(docs, "arrival")
+    store.append(docs.withColumn(arrival, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)).cast("int")), arrival)
     return store
