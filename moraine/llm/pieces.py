@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from moraine.llm.common import small_batches
+from moraine.llm.common import bounded_batches
 
 SPACE = "▁"
 MAX_WORDS, LONGEST_KEPT, GROUP = 150_000, 48, 1_500_000
@@ -258,7 +258,7 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             n, ids, decoded = zip(*digests([t or "" for t in b.column("text").to_pylist()]), strict=True) if len(b) else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -272,6 +272,6 @@ def encode_column(docs: DataFrame, model: str, text_col: str = "text", ids_col:
             ids = pa.array([encode(t or "") for t in b.column(text_col).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kept = docs.drop(ids_col)
     return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add(ids_col, ArrayType(IntegerType())))

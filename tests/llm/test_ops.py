@@ -89,31 +89,52 @@ def test_plan_fills_a_sequence_again_with_the_same_length():
             assert sum(n for _, n in places) <= 2048
 
 
+def plain_score(a, b):
+    """The inner product of floor(256 * component) in Python integers, kept to the range of a long."""
+    whole = lambda v: [int(np.floor(256 * float(x))) if abs(float(x)) < 2.0**900 else int(float(x)) * 256 for x in v]
+    return min(max(sum(x * y for x, y in zip(whole(a), whole(b), strict=True)), -(2**63)), 2**63 - 1)
+
+
+def searched(rows, every, k, measure):
+    """Sorted (query id, rank, vec_id, score) by brute force; rows are (id, vector)."""
+    out = []
+    for at, (q, v) in enumerate(rows):
+        if q % every == 0:
+            best = sorted((-measure(v, w), i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v))[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
 def test_vector_search_against_brute_force(spark):
     r = np.random.default_rng(3)
     x = r.normal(0, 0.3, (300, 8)).astype(np.float32)
     x[100:160] = x[50]
-    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(1000, None, 1), (1050, [1.0, None], 1), (1100, [float("nan")] * 8, 1), (1150, [0.0] * 8, 1), (1200, [], 1), (None, [1.0] * 8, 1), (50, [float(c) for c in x[50]], 1)]
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)] + [(1000, None, 1), (1050, [1.0, None], 1), (1100, [float("nan")] * 8, 1), (1150, [0.0] * 8, 1), (1200, [], 1), (None, [1.0] * 8, 1), (1250, [0.5] * 3, 1), (1251, [0.25] * 3, 1)]
+    rows += [(50, [float(c) for c in x[50]], 1)] * 2 + [(200, [float(c) for c in x[7]], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(5)
-    usable = [(i, np.array(v, dtype=np.float32)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    for kernel, kind, k, measure, skip_zero in ((kdtree.top_inner_products, "long", 5, lambda a, b: int((np.floor(256 * a.astype(float)) * np.floor(256 * b.astype(float))).sum()), False), (tiles.top_products, "double", 20, lambda a, b: float(tiles.exact_products(a[None].astype(float), b[None].astype(float))[0]), True)):
-        got = {}
-        for row in blocks.search(df, F.col("vec_id") % 50 == 0, k, kernel, kind, nonzero=skip_zero, block=3, chunk=64).collect():
-            got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
-        pool = [u for u in usable if not skip_zero or u[1].any()]
-        seen = set()
-        for at, (q, v) in enumerate(pool):
-            if q % 50 == 0 and q not in seen:
-                seen.add(q)
-                best = sorted((-measure(v, w), i) for j, (i, w) in enumerate(pool) if j != at)[:k]
-                assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
-        assert set(got) == seen
-    assert blocks.search(df.limit(0), F.col("vec_id") % 50 == 0, 5, kdtree.top_inner_products, "long").count() == 0
-
-
-def test_huge_components():
-    i, ids, scores, own = kdtree.top_inner_products(np.array([[1e6, 1.0]]), np.array([5, 6]), np.array([[1e6, 0.0], [1.0, 1.0]]), 2)
-    assert ids.tolist() == [5, 6] and scores[0] == int(256 * 1e6) ** 2
+    fit = [(i, np.array(v, dtype=np.float32)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    product = lambda a, b: float(tiles.exact_products(a[None].astype(float), b[None].astype(float))[0])
+    for shard_bytes, least in ((16 << 20, 1024), (64 * 64, 40), (64 * 3, 1)):
+        for method, k, measure, skip_zero in ((kdtree.TopProducts(), 5, plain_score, False), (tiles.Products(), 20, product, True)):
+            got = blocks.search(df, F.col("vec_id") % 50 == 0, k, method, nonzero=skip_zero, shard_bytes=shard_bytes, least_shard=least).collect()
+            assert sorted(map(tuple, got)) == searched([u for u in fit if not skip_zero or u[1].any()], 50, k, measure)
+    for method in (kdtree.TopProducts(), tiles.Products()):
+        assert blocks.search(df.limit(0), F.col("vec_id") % 50 == 0, 5, method).count() == 0
+
+
+def test_huge_components(spark):
+    r = np.random.default_rng(4)
+    big = [[float(c) for c in r.normal(0, 1, 4) * 10.0 ** r.integers(-3, 12)] for _ in range(120)]
+    big += [[1e300, 1.0, -1e299, 0.5], [1e300, -1e300, 1e300, 1e300], [-1e300, 2.0, 3.0, 1e299], [1e308, 0.0, 0.0, 1.0], [3e38, -3e38, 3e38, 3e38], [1e150, 1e150, 0.0, 0.0], [0.5, 0.25, -0.25, 1e-5]]
+    rows = list(enumerate(big))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = blocks.search(df, F.col("vec_id") % 3 == 0, 5, kdtree.TopProducts(), shard_bytes=32 * 30, least_shard=1).collect()
+    assert sorted(map(tuple, got)) == searched(rows, 3, 5, plain_score)
+    near = blocks.search(df, F.col("vec_id") % 3 == 0, 5, tiles.Products(), nonzero=True).collect()
+    small = [x for x in rows if max(map(abs, x[1])) < 1e100]
+    assert len(near) == 5 * len([x for x in rows if x[0] % 3 == 0]) and len(small) == 122
+    i, names, ids, scores = kdtree.TopProducts().search(kdtree.TopProducts().build(np.array([5, 6]), np.array([0, 1]), np.array([[1e6, 0.0], [1.0, 1.0]]), 2), np.array([9]), np.array([[1e6, 1.0]]), np.array([-(2**63)]), 2)
+    assert sorted(ids.tolist()) == [5, 6] and max(scores) == int(256 * 1e6) ** 2
 
 
 def test_sentencepiece(docs, empty):
@@ -215,7 +236,7 @@ def test_token_counts(spark, docs, empty):
             if r.doc_id is not None:
                 t = TEXTS[r.doc_id] or ""
                 assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), len(hf(t)), len(hf(t)) > 512)
-    stored = spark.read.parquet(f"{cache}/version={token_count.tokenizer_version(BYTES)}")
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(f"{cache}/version={token_count.tokenizer_version(BYTES)}")
     assert stored.count() == stored.select("digest").distinct().count()
     assert token_count.count_tokens(docs, PIECES, cache).where("doc_id is null").first().n_tokens > 0
     assert token_count.count_tokens(empty, BYTES, cache).count() == 0
