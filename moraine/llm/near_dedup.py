@@ -2,10 +2,11 @@
 
 One pass makes a sketch of every row: set size, set digest and band keys of a signature that keeps the minimum and the maximum
 under each permutation (two values for one hash evaluation). Rows of equal sets form a class; one node stands for
-it. Nodes that share a band key are candidates. First each node is held against its smallest candidate, which
-settles most groups with one check a node. What a band group then still holds of different components is checked pair by
-pair across components: the nodes of its largest component against the others, and these against each other, in blocks
-that are bounded by rows and by the size of their sets. Only links that join two components are returned.
+it. Nodes that share a band key are candidates. First each node is held against one candidate, the one that shares band keys
+with the most others, which settles most groups with one check a node. What a band group then still holds of different components
+is compared inside blocks of it, and what is open after that across blocks: the nodes of its largest component against the others,
+and these against each other. Blocks are bounded by rows and by the size of their sets. Only links that join two components of a
+comparison are returned, so their number stays near that of the nodes.
 """
 
 from __future__ import annotations
@@ -169,11 +170,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     # the number of a node is stored with it, so it stays what it is
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "of.doc_id", "of.text_key", "n", "bands"), "nodes", scratch)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).where("m > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).where("m > 1")
     buckets = materialize(buckets, "buckets", scratch)
-    shared = materialize(keyed.join(buckets.select("key", "center"), "key"), "members", scratch)
+    shared = materialize(keyed.join(buckets.select("key", "m"), "key"), "members", scratch)
 
-    first = shared.where("node <> center").groupBy("node", "n").agg(F.min("center").alias("center"))
+    near = shared.groupBy("node").agg(F.sum("m").alias("near"))
+    centers = shared.join(near, "node").groupBy("key").agg(F.max(F.struct("near", "node")).alias("center"))
+    first = shared.join(centers, "key").where("node <> center.node").groupBy("node").agg(F.max("center").alias("c")).select("node", F.col("c.node").alias("center"))
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
     texts = rows.join(wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))).select("node", "text").dropDuplicates(["node"])
     texts = materialize(texts, "texts", scratch)
@@ -195,21 +198,12 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     links = materialize(pairs.select("node", "center", "text", "center_text").mapInPandas(confirm, "a long, b long"), "links", scratch)
     label = components(links, scratch)
 
-    left = shared.select("node", "n", "key").join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
-    open_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    one_each = buckets.join(open_keys, "key").groupBy("m", "center", "members").agg(F.min("key").alias("key")).select("key")
-    left = materialize(left.join(one_each, "key", "left_semi"), "open", scratch)
-    # the largest component of a group is one side, the rest the other; each side is dealt into blocks
-    most = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-    left = left.join(materialize(most, "largest", scratch), "key").withColumn("rest", F.col("label") != F.col("top"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sides = materialize(left.groupBy("key", "rest").agg(blocks.alias("blocks")), "sides", scratch)
-    sides = sides.groupBy("key").agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("b_rest"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("b_top"))
-    dealt = F.xxhash64("node", F.lit(1))
-    part = F.when(F.col("rest"), F.pmod(dealt, F.col("b_rest"))).otherwise(F.col("b_rest") + F.pmod(dealt, F.col("b_top"))).cast("int")
-    inside = left.join(sides, "key").withColumn("part", part)
-    every = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("b_rest") + F.col("b_top") - 1).otherwise(F.col("b_rest") - 1))
-    inside = inside.select("node", "label", "key", "part", F.explode(every).alias("other")).select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    def open_members(label: DataFrame) -> DataFrame:
+        """node, n, key, label of the band groups that hold several components; of groups with the same members one."""
+        left = shared.select("node", "n", "key").join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
+        open_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        one_each = buckets.join(open_keys, "key").groupBy("m", "members").agg(F.min("key").alias("key")).select("key")
+        return materialize(left.join(one_each, "key", "left_semi"), "open", scratch)
 
     def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         if g["label"].nunique() < 2:
@@ -218,8 +212,27 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         found = link_group(g["node"].tolist(), g["part"].tolist(), g["label"].tolist(), sets, percent, key[1] != key[2])
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    more = materialize(inside.join(texts, "node").groupBy("key", "p", "q").applyInPandas(settle, "a long, b long"), "links", scratch)
-    label = components(links.union(more), scratch)
+    def compared(inside: DataFrame) -> DataFrame:
+        return materialize(inside.join(texts, "node").groupBy("key", "p", "q").applyInPandas(settle, "a long, b long"), "links", scratch)
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    dealt = F.xxhash64("node", F.lit(1))
+    left = open_members(label)
+    if not left.isEmpty():
+        inside = left.join(left.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
+        links = links.union(compared(inside.select("node", "label", "key", "part", F.col("part").alias("p"), F.col("part").alias("q"))))
+        label = components(links, scratch)
+        left = open_members(label)
+    if not left.isEmpty():
+        most = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
+        left = materialize(left.join(most, "key").select("node", "n", "key", "label", (F.col("label") != F.col("top")).alias("rest")), "sides", scratch)
+        sides = left.groupBy("key", "rest").agg(blocks.alias("blocks")).groupBy("key")
+        sides = sides.agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("b_rest"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("b_top"))
+        part = F.when(F.col("rest"), F.pmod(dealt, F.col("b_rest"))).otherwise(F.col("b_rest") + F.pmod(dealt, F.col("b_top"))).cast("int")
+        every = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("b_rest") + F.col("b_top") - 1).otherwise(F.col("b_rest") - 1))
+        inside = left.join(sides, "key").withColumn("part", part).select("node", "label", "key", "part", F.explode(every).alias("other"))
+        links = links.union(compared(inside.select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))))
+        label = components(links, scratch)
     named = nodes.join(label, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component"))
     named = materialize(named.join(least, "label").select(F.col("digest").alias("set_digest"), "component"), "components")
