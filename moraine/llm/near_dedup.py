@@ -222,7 +222,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         inside = left.join(left.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
         links = links.union(compared(inside.select("node", "label", "key", "part", F.col("part").alias("p"), F.col("part").alias("q"))))
         label = components(links, scratch)
-        left = open_members(label)
+        left = open_members(label)  # a group of one block has been compared as a whole
+        left = left.join(left.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "key", "left_semi")
     if not left.isEmpty():
         most = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
         left = materialize(left.join(most, "key").select("node", "n", "key", "label", (F.col("label") != F.col("top")).alias("rest")), "sides", scratch)
