@@ -101,7 +101,7 @@ frame("manifest_fold", fold_manifest, FOLD, "manifest_changes")
 frame("manifest_by_level", lambda m: fold_manifest(m).groupBy("level").agg(F.count("*").alias("n")), f"select level, count(*) as n from ({FOLD}) x group by level", "manifest_changes")
 text("manifest_next_id", "select max(file_id) + 1 as next_id from manifest_changes")
 frame("vlog_pointer_assign", lambda d: values.assign_pointers(d).select("doc_id", "n", "is_external", "file_id", "log_offset"), "select doc_id, n, is_external, file_id, log_offset from blobs", "sizes")
-text("vlog_utilization", "select file_id, cast(sum(n + 12) as bigint) as bytes, count(*) as entries, round(sum(n + 12) / 1048576.0e0, 6) as used from blobs group by file_id")
+frame("vlog_utilization", lambda d: values.assign_pointers(d).groupBy("file_id").agg(F.sum(F.col("n") + 12).alias("bytes"), F.count("*").alias("entries"), F.round(F.sum(F.col("n") + 12) / 1048576.0, 6).alias("used")), "select file_id, cast(sum(n + 12) as bigint) as bytes, count(*) as entries, round(sum(n + 12) / 1048576.0e0, 6) as used from blobs group by file_id", "sizes")
 
 
 def external(d: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def external(d: DataFrame) -> DataFrame:
 
 
 frame("vlog_deref", lambda d: values.dereference(external(d).select("doc_id", "file_id", "log_offset"), values.assign_pointers(d).select("file_id", "log_offset", "text")).select("doc_id", F.sha2("text", 256).alias("sha")), "select doc_id, sha256(text) as sha from blobs where is_external", "sizes")
-text("value_separation", "select is_external, count(*) as n, cast(sum(n) as bigint) as bytes from blobs group by is_external")
-text("pointer_codec", "select doc_id, concat(lpad(lower(hex(file_id)), 8, '0'), lpad(lower(hex(log_offset)), 16, '0'), lpad(lower(hex(n)), 8, '0')) as code from blobs")
+frame("value_separation", lambda d: d.groupBy((F.col("n") >= values.THRESHOLD).alias("is_external")).agg(F.count("*").alias("n"), F.sum("n").alias("bytes")), "select is_external, count(*) as n, cast(sum(n) as bigint) as bytes from blobs group by is_external", "sizes")
+frame("pointer_codec", lambda d: values.assign_pointers(d).select("doc_id", F.lower(F.concat(F.lpad(F.hex("file_id"), 8, "0"), F.lpad(F.hex("log_offset"), 16, "0"), F.lpad(F.hex("n"), 8, "0"))).alias("code")), "select doc_id, concat(lpad(lower(hex(file_id)), 8, '0'), lpad(lower(hex(log_offset)), 16, '0'), lpad(lower(hex(n)), 8, '0')) as code from blobs", "sizes")
 
 # Projections and predicates
 frame("meta_flag_decode", lambda t: t.select("ts", *[log.flagged(f).alias(n) for n, f in (("deleted", 1), ("tombstone", 2), ("compressed", 4), ("external", 8))]), "select ts, meta & 1 <> 0 as deleted, meta & 2 <> 0 as tombstone, meta & 4 <> 0 as compressed, meta & 8 <> 0 as external from kv_log", "kv_log")
@@ -144,26 +144,45 @@ frame("vlog_live_entries", lambda d: values.live_entries(*alive_pointers(d), 0.0
 text("compaction_stats", "select level, max_ts, cast(sum(size) over (partition by level order by max_ts, file_id) as bigint) as bytes_so_far, round(avg(size) over (partition by level order by max_ts, file_id), 6) as avg_so_far from sst_files")
 text("running_mean", "select k, ts, round(avg(cast(v as double)) over (partition by k order by ts rows between unbounded preceding and current row), 6) as mean_so_far from kv_log")
 text("error_counts", "select err, count(*) as n from error_log group by err")
-text("error_rate", "select count(*) as n, round(count(*) * 1000.0e0 / (select count(*) from events), 6) as per_thousand from error_log")
-text("error_rate_rolling", "select event_id, count(*) over (order by event_id range between 500 preceding and current row) as recent from error_log")
+text("error_rate", "select count(*) as n, round(count(*) / 86400000.0e0 * 1000.0e0, 9) as per_second from error_log where at_ts >= (select max(at_ts) - interval 1 day from error_log)")
+frame("error_rate_rolling", lambda e: log.trailing_count(e.select("event_id"), "event_id", 500, "recent"), "select event_id, count(*) over (order by event_id range between 500 preceding and current row) as recent from error_log", "error_log")
 CONFLICT = "select distinct r.txn_id from txn_ops r join txn_ops w on r.k = w.k and r.op = 'r' and w.op = 'w' and w.commit_ts > r.read_ts and w.commit_ts < r.commit_ts and w.txn_id <> r.txn_id"
 frame("txn_conflicts", transactions.conflicts, CONFLICT, "txn_ops")
 frame("txn_conflicts_advanced", lambda o: transactions.conflicts(o, "advanced"), CONFLICT.replace("and r.op = 'r' ", ""), "txn_ops")
-frame("txn_commit_apply", transactions.apply_commits, None, "txn_ops")
-frame("txn_replay", transactions.replay, None, "txn_ops")
+#: One transaction a step in the order of commits; `done` holds those that have committed.
+REPLAY = """(with recursive waits as (select r.txn_id, list(distinct w.txn_id) as others from txn_ops r join txn_ops w on r.k = w.k and r.op = 'r' and w.op = 'w' and w.commit_ts > r.read_ts and w.commit_ts < r.commit_ts and w.txn_id <> r.txn_id group by r.txn_id),
+  q as (select t.txn_id, coalesce(others, []) as others, row_number() over (order by commit_ts) as n from txns t left join waits on t.txn_id = waits.txn_id),
+  s as (select n, txn_id, len(list_intersect(others, [-1])) = 0 as committed, [txn_id] as done from q where n = 1
+    union all select q.n, q.txn_id, len(list_intersect(q.others, s.done)) = 0, case when len(list_intersect(q.others, s.done)) = 0 then list_append(s.done, q.txn_id) else s.done end from s join q on q.n = s.n + 1)
+  select txn_id, committed from s)"""
+frame("txn_commit_apply", transactions.apply_commits, f"select k, max_by(v, op_seq) as v, commit_ts as ts, 0 as meta from txn_ops where op = 'w' and txn_id in (select txn_id from {REPLAY} c where committed) group by txn_id, k, commit_ts", "txn_ops")
+frame("txn_replay", transactions.replay, f"select txn_id, committed from {REPLAY} c", "txn_ops")
 text("txn_outcomes", f"select count(*) as started, count(*) - count(c.txn_id) as committed, count(c.txn_id) as aborted from txns t left join ({CONFLICT}) c on t.txn_id = c.txn_id")
 text("txn_sizes", "select txn_id, count(distinct case when op = 'r' then k end) as n_reads, count(case when op = 'w' then 1 end) as n_writes, cast(sum(case when op = 'w' then length(k) + length(v) else 0 end) as bigint) as bytes from txn_ops group by txn_id")
 text("txn_limit_violations", "select txn_id from txn_ops group by txn_id having count(distinct case when op = 'r' then k end) > 4 or count(case when op = 'w' then 1 end) > 1000")
-text("txn_sets", "select txn_id, count(distinct case when op = 'r' then k end) as read_set, count(distinct case when op = 'w' then k end) as write_set, min(k) as low, max(k) as high from txn_ops group by txn_id")
-text("assign_ts", "select txn_id, cast(row_number() over (partition by floor(txn_id / 100.0) order by txn_id) as bigint) as ts_in_batch from txns")
-text("committed_cleanup", "select txn_id, commit_ts from (select txn_id, commit_ts, row_number() over (order by commit_ts desc) as n from (select txn_id, commit_ts from txns where commit_ts >= (select max(read_ts) - 1000 from txns)) a) b where n <= 5000")
+frame("txn_sets", lambda o: transactions.key_sets(o).select("txn_id", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes")), "select txn_id, coalesce(string_agg(distinct case when op = 'r' then k end, ',' order by case when op = 'r' then k end), '') as reads, coalesce(string_agg(distinct case when op = 'w' then k end, ',' order by case when op = 'w' then k end), '') as writes from txn_ops group by txn_id", "txn_ops")
+frame("assign_ts", lambda t: log.running_total(t.select("txn_id"), "txn_id", F.lit(1), "ts"), "select txn_id, row_number() over (order by txn_id) as ts from txns", "txns")
+CLEANED = """with c as (select txn_id, commit_ts, row_number() over (order by commit_ts) as n from txns), old as (select txn_id from c where commit_ts < {safe} and n <= {quarter}),
+  kept as (select txn_id, commit_ts, row_number() over (order by commit_ts desc) as n, count(*) over () as total from c where txn_id not in (select txn_id from old))
+  select txn_id, commit_ts from kept where total <= {most} or n <= {half}"""
+
+
+def clean_up(name: str, read_mark: int | None, now: int, most: int) -> None:
+    safe = max(0, now - 1000) if read_mark is None else min(read_mark, max(0, now - 1000))
+    sql = CLEANED.format(safe=safe, quarter=most // 4, half=most // 2, most=most)
+    frame(name, lambda t: transactions.cleaned(t.select("txn_id", "commit_ts"), read_mark, now, most=most), f"select * from ({sql}) x", "txns")
+
+
+clean_up("committed_cleanup", 6000, 12000, 10_000)
+clean_up("committed_cleanup_forced", None, 5000, 400)
 text("txn_low_watermark", "select min(read_ts) as low from txns where commit_ts > 5000 and read_ts <= 5000")
 text("safe_for_gc", "select txn_id from txns where commit_ts < (select min(read_ts) from txns where commit_ts > 5000 and read_ts <= 5000)")
 frame("watermark_timeline", transactions.low_watermark_timeline, "select at_ts, min(read_ts) as low from (select read_ts as at_ts from txns union select commit_ts from txns) i left join txns on read_ts <= at_ts and commit_ts > at_ts group by at_ts", "txns")
-text("watermark_group_min", "select least(min(read_ts), min(commit_ts)) as low from txns")
+OPEN = "from txns where commit_ts > 5000 and read_ts <= 5000"
+frame("watermark_group_min", lambda t: transactions.group_watermark(t.where("commit_ts > 5000 and read_ts <= 5000").select(F.explode(F.array(*[F.struct(F.lit(c).alias("mark"), F.col(c).alias("ts")) for c in ("read_ts", "commit_ts")])).alias("p")).select("p.*")), f"select coalesce(min(ts), 9223372036854775807) as low from (select min(read_ts) as ts {OPEN} union all select min(commit_ts) {OPEN}) x", "txns")
 text("active_txn_count", "select count(*) as n from txns where read_ts <= 5000 and commit_ts > 5000")
-ENTROPY_SPARK = "select ts, round(-sum(p * log2(p)), 6) as entropy from (select ts, count(*) * 1.0e0 / first(n) as p from (select ts, length(v) as n, explode(split(v, '')) as c from kv_log) a group by ts, c) b group by ts"
-ENTROPY_DUCK = "select ts, round(-sum(p * log2(p)), 6) as entropy from (select ts, count(*) * 1.0e0 / any_value(n) as p from (select ts, length(v) as n, unnest(string_split(v, '')) as c from kv_log) a group by ts, c) b group by ts"
+#: Bits a byte from the histogram of a value's bytes.
+ENTROPY = "select id, round(-sum(p * log2(p)), 6) as entropy from (select id, count(*) * 1.0e0 / any_value(n) as p from (select id, len(cs) as n, unnest(cs) as c from (select {id} as id, regexp_extract_all(hex(encode({value})), '..') as cs from {table}) h) a group by id, c) b group by id"
 
 
 def dialects(name: str, spark: str, duck: str) -> None:
@@ -171,16 +190,15 @@ def dialects(name: str, spark: str, duck: str) -> None:
     ORACLE_SQL[name] = duckdb_sql(duck)
 
 
-dialects("value_entropy", ENTROPY_SPARK, ENTROPY_DUCK)
-WORTH = "select ts, n >= 8 and (8 - entropy) / 8 > 0.6 as worth from (select e.ts, e.entropy, length(l.v) as n from ({E}) e join kv_log l on e.ts = l.ts) x"
-dialects("should_compress", WORTH.replace("{E}", ENTROPY_SPARK), WORTH.replace("{E}", ENTROPY_DUCK))
+frame("value_entropy", lambda t: t.select("ts", F.round(codecs.entropy("v"), 6).alias("entropy")), "select id as ts, entropy from (" + ENTROPY.format(id="ts", value="v", table="kv_log") + ") x", "kv_log")
+frame("should_compress", lambda d: codecs.worth_compressing(d.where("text <> ''")).select("doc_id", "worth"), "select doc_id, n >= 64 and (8 - entropy) / 8 > 0.1 as worth from sizes join (" + ENTROPY.format(id="doc_id", value="text", table="documents") + ") e on doc_id = id where text <> ''", "sizes")
 dialects("appears_encrypted", "select doc_id, n >= 32 and size(array_distinct(regexp_extract_all(hex(substr(cast(text as binary), 1, 1024)), '(..)', 1))) > 200 as encrypted from sizes where text <> ''", "select doc_id, n >= 32 and len(list_distinct(regexp_extract_all(substr(hex(encode(text)), 1, 2048), '..'))) > 200 as encrypted from sizes where text <> ''")
 text("write_amplification", "select round(sum(size) * 1.0e0 / (select sum(length(k) + length(v)) from kv_log), 6) as amplification from sst_files")
 text("key_prefix_histogram", "select substr(k, 1, 9) as prefix, count(*) as n from kv_log group by substr(k, 1, 9)")
 dialects("key_decompose", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log", "select ts, split_part(k, ':', 1) as kind, cast(split_part(k, ':', 2) as bigint) as id, split_part(k, ':', 3) as event from kv_log")
 text("bench_regression", "select run_day, ops, before, case when before is null then 'first' when ops > before * 1.05e0 then 'improved' when ops < before * 0.95e0 then 'regressed' else 'stable' end as verdict from (select run_day, ops, lag(ops) over (order by run_day) as before from bench_runs) x")
 frame("memtable_rotation", lambda t: log.running_total(t, "ts", F.length("k") + F.length("v"), "bytes").select("ts", F.floor(F.col("bytes") / 65536).cast("int").alias("memtable")), "select ts, cast(floor(cast(sum(length(k) + length(v)) over (order by ts rows between unbounded preceding and current row) as bigint) / 65536.0) as int) as memtable from kv_log", "kv_log")
-text("queue_depth", "select at_ts, cast(sum(step) over (order by at_ts, step) as bigint) as depth from (select read_ts as at_ts, 1 as step from txns union all select commit_ts, -1 from txns) x")
+frame("queue_depth", lambda t: log.prefix(t.select(F.explode(F.array(F.struct(F.col("read_ts").alias("at_ts"), F.lit(1).alias("step")), F.struct(F.col("commit_ts").alias("at_ts"), F.lit(-1).alias("step")))).alias("s")).select("s.*"), "at_ts", F.col("step"), "depth", ties=("step",), peers=True).select("at_ts", F.col("depth").cast("long")), "select at_ts, cast(sum(step) over (order by at_ts, step) as bigint) as depth from (select read_ts as at_ts, 1 as step from txns union all select commit_ts, -1 from txns) x", "txns")
 
 # Sorts, top-k, set operations, mutations
 frame("tables_sorted", lambda f: f.select("file_id", "smallest_key").orderBy("smallest_key", "file_id"), "select file_id, smallest_key from sst_files", "sst_files")
@@ -231,18 +249,33 @@ text("bloom_sizing", "select file_id, greatest(cast(ceil(-key_count * ln(0.01e0)
 text("max_compressed_size", "select doc_id, n + cast(floor(n / 1000.0) as bigint) + 14 as bound from sizes")
 dialects("is_compressed", "select doc_id, substr(hex(text), 1, 4) in ('789C', '7801', '78DA') as zlib from sizes where text is not null", "select doc_id, substr(hex(encode(text)), 1, 4) in ('789C', '7801', '78DA') as zlib from sizes where text is not null")
 text("encrypted_sizes", "select doc_id, n + 28 as encrypted, n as decrypted from sizes")
-dialects("aes_roundtrip", "select doc_id, cast(aes_decrypt(aes_encrypt(text, '0123456789abcdef0123456789abcdef', 'GCM'), '0123456789abcdef0123456789abcdef', 'GCM') as string) = text as same from sizes where text is not null", "select doc_id, true as same from sizes where text is not null")
+frame("aes_roundtrip", codecs.aes_roundtrip, "select doc_id, sha256(text) as sha from sizes where text is not null", "sizes")
 text("retry_schedule", "select n, cast(least(100 * power(2.0e0, n), 5000) as bigint) as delay_ms from (select distinct n_nationkey as n from nation) x")
 text("retryable_errors", "select e.err, count(*) as n, e.err in ('E1', 'E3', 'E5') as retryable from error_log e group by e.err")
-frame("fnv1a_checksum", codecs.checksums, None, "kv_log")
+FNV = "list_reduce(list_transform(regexp_extract_all(hex(encode(v)), '..'), lambda h: ('0x' || h)::hugeint), lambda acc, b: (xor(acc, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint, 14695981039346656037::hugeint)"
+frame("fnv1a_checksum", codecs.checksums, f"select ts, case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end::bigint as checksum from (select ts, {FNV} as h from kv_log) x", "kv_log")
 frame("block_crc32", lambda r: records.block_checksums(records.block_entries(r)), None, "kv_runs")
-frame("zlib_roundtrip", codecs.zlib_roundtrip, "select doc_id, true as same from sizes where text is not null", "sizes")
+frame("zlib_roundtrip", codecs.zlib_roundtrip, "select doc_id, sha256(text) as sha from sizes where text is not null", "sizes")
+frame("compression_arithmetic", lambda i: i.select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("n"), F.floor(F.col("l_extendedprice") * (1 + F.col("l_discount") * 2) / 2).cast("long").alias("packed")).select("*", *codecs.saving_columns("n", "packed")), "select *, round(case when n > 0 then packed * 1.0e0 / n else 1 end, 6) as ratio, greatest(n - packed, 0) as savings, round(case when n > 0 then greatest(n - packed, 0) * 100.0e0 / n else 0 end, 6) as percent, round(case when packed > 0 then greatest(n - packed, 0) * 1.0e0 / packed else 0 end, 6) as efficiency from (select l_orderkey, l_linenumber, floor(l_extendedprice)::bigint as n, floor(l_extendedprice * (1 + l_discount * 2) / 2)::bigint as packed from lineitem) x", "items")
 frame("compression_stats", codecs.compression_stats, None, "sizes")
 frame("bloom_build", codecs.bloom_filters, None, "kv_runs")
 frame("bloom_probe", codecs.bloom_probe, None, "kv_runs", "kv_log")
-frame("wal_encode", records.encode_log, "select ts, lower(hex(encode(concat(k, v)))) as payload from kv_log", "kv_log")
+def _little_sql(number: str, size: int) -> str:
+    return " || ".join(f"substr(printf('%0{2 * size}x', {number}), {i}, 2)" for i in range(2 * size - 1, 0, -2))
+
+
+RECORD = f"{_little_sql('octet_length(encode(k))', 4)} || {_little_sql('octet_length(encode(v))', 4)} || {_little_sql('ts', 8)} || {_little_sql('meta', 1)} || lower(hex(encode(k || v)))"
+frame("wal_encode", records.encode_log, f"select ts, {RECORD} as record from kv_log", "kv_log")
 frame("wal_replay", records.replay_roundtrip, "select k, v, ts, meta from kv_log", "kv_log")
 frame("sst_reader", records.table_roundtrip, "select k, v, ts, meta from latest", "kv_log")
+#: The rules of the settings over each preset's values: memory in bytes, and what the settings suit.
+SETTINGS = """select * from (values ('default', 64, 5, 64, 256, 4, 1024, 'zlib'), ('development', 1, 5, 64, 16, 1, 10, 'none'), ('production', 128, 5, 64, 512, 8, 2048, 'zlib'),
+  ('high_performance', 256, 5, 256, 1024, 16, 4096, 'zlib'), ('memory_optimized', 16, 5, 16, 32, 2, 256, 'zlib')) t(preset, mem, tables, table_cache, block_cache, compactors, vlog, codec)"""
+SUMMARY = f"""with s as (select *, (block_cache + table_cache + case when preset = 'memory_optimized' then 8 else 32 end) * 1048576::bigint as cache, mem * tables * 1048576::bigint as memtable from ({SETTINGS}) x),
+  v as (select preset, cache as cache_memory, memtable as memtable_memory, cache + memtable + 1048576 + 65536 as estimated_memory, floor(-10000 * ln(0.01) / power(ln(2), 2) / 8)::bigint as bloom_bytes, (2097152 * power(10, 6))::bigint as largest_level,
+    (compactors >= 4)::bigint as for_high_concurrency, (mem >= 64 and vlog >= 1024 and block_cache >= 256)::bigint as for_large_data, (codec <> 'none')::bigint as compressed from s)
+  unpivot v on columns(* exclude preset) into name name value value"""
+ORACLE_SQL["config_summary"] = f"select preset, name, value from ({SUMMARY}) x"
 QUERIES["config_summary"] = lambda spark, sf_dir: spark.createDataFrame([(p, n, int(v)) for p in config.PRESETS for n, v in config.Options.preset(p).summary().items()], "preset string, name string, value long")
 QUERIES["stream_latest"] = feeds.stream_latest
 ORACLE_SQL["stream_latest"] = duckdb_sql("select user_id, count(*) as n, max(event_id) as last_event from events group by user_id")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, DoubleType, LongType
 
 #: Offset basis and prime of 64-bit FNV-1a; multiplier and shift of the seeded 64-bit hash.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -28,15 +29,18 @@ def fnv1a(data: bytes) -> int:
 
 
 def fnv1a_many(items: list[bytes]) -> np.ndarray:
-    """FNV-1a of all items at once, a byte place at a time."""
-    size = np.array([len(x) for x in items])
+    """FNV-1a of all items at once, a byte place at a time; the shorter items drop out, so one long item costs its own length only."""
+    size = np.array([len(x) for x in items], dtype=np.int64)
     h = np.full(len(items), FNV_BASIS, dtype=np.uint64)
-    if len(items) and size.max():
-        table = np.zeros((len(items), size.max()), dtype=np.uint8)
-        for i, x in enumerate(items):
-            table[i, : len(x)] = np.frombuffer(x, dtype=np.uint8)
-        for j in range(table.shape[1]):
-            h = np.where(j < size, (h ^ table[:, j]) * np.uint64(FNV_PRIME), h)
+    flat = np.frombuffer(b"".join(items), dtype=np.uint8).astype(np.uint64)
+    by = np.argsort(-size, kind="stable")
+    start = (np.cumsum(size) - size)[by]
+    left = np.searchsorted(-size[by], -np.arange(size.max(initial=0)), side="left")  # items longer than each place
+    prime = np.uint64(FNV_PRIME)
+    state = h[by]
+    for j, n in enumerate(left.tolist()):
+        state[:n] = (state[:n] ^ flat[start[:n] + j]) * prime
+    h[by] = state
     return h
 
 
@@ -70,19 +74,64 @@ def inflated(v: pd.Series) -> pd.Series:
     return v.map(zlib.decompress, na_action="ignore")
 
 
+@F.pandas_udf(DoubleType())
+def entropy(v: pd.Series) -> pd.Series:
+    """Bits per byte of a value's bytes; 0 for an empty value, null for null."""
+
+    def bits(x: str | bytes) -> float:
+        n = np.bincount(np.frombuffer(x.encode() if isinstance(x, str) else x, dtype=np.uint8))
+        p = n[n > 0] / max(1, n.sum())
+        return float(-(p * np.log2(p)).sum()) + 0.0
+
+    return v.map(bits, na_action="ignore").astype("float64")
+
+
+def worth_compressing(values: DataFrame, payload: str = "text", least_bytes: int = 64, least_gain: float = 0.1) -> DataFrame:
+    """All columns and worth: a value of at least `least_bytes` whose entropy leaves more than `least_gain` of its bits."""
+    return values.withColumn("worth", (F.octet_length(payload) >= least_bytes) & ((8 - entropy(payload)) / 8 > least_gain))
+
+
+def derive_key(password: str, salt: bytes, rounds: int = 100_000) -> bytes:
+    """A 256-bit key by PBKDF2 with HMAC-SHA256."""
+    return hashlib.pbkdf2_hmac("sha256", password.encode(), salt, rounds, 32)
+
+
+def encrypted(payload: Column, key: bytes, aad: str = "") -> Column:
+    """AES-256-GCM: nonce (12 bytes, random), ciphertext and tag (16 bytes); aad is authenticated with it."""
+    return F.aes_encrypt(payload, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(aad))
+
+
+def decrypted(payload: Column, key: bytes, aad: str = "") -> Column:
+    """The bytes that were encrypted; null where key, aad or a byte differ."""
+    return F.try_aes_decrypt(payload, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), F.lit(aad))
+
+
+def aes_roundtrip(values: DataFrame) -> DataFrame:
+    key = derive_key("correct horse", b"moraine-salt-16b")
+    back = decrypted(encrypted(F.col("text"), key, "documents"), key, "documents")
+    return values.where("text is not null").select("doc_id", F.sha2(back, 256).alias("sha"))
+
+
 def checksums(log: DataFrame) -> DataFrame:
     return log.select("ts", fnv1a_64("v").alias("checksum"))
 
 
 def zlib_roundtrip(values: DataFrame) -> DataFrame:
-    return values.where("text is not null").select("doc_id", (inflated(deflated("text")).cast("string") == F.col("text")).alias("same"))
+    return values.where("text is not null").select("doc_id", F.sha2(inflated(deflated("text")), 256).alias("sha"))
+
+
+def saving_columns(n: str, packed: str) -> list[Column]:
+    """ratio, savings (not below 0), percent saved and efficiency (savings per packed byte) of values of n bytes that take packed bytes."""
+    size, took = F.col(n), F.col(packed)
+    saved = F.greatest(size - took, F.lit(0))
+    percent = F.round(F.when(size > 0, saved * 100.0 / size).otherwise(0.0), 6)
+    return [F.round(F.when(size > 0, took / size).otherwise(1.0), 6).alias("ratio"), saved.alias("savings"), percent.alias("percent"), F.round(F.when(took > 0, saved / took).otherwise(0.0), 6).alias("efficiency")]
 
 
 def compression_stats(values: DataFrame) -> DataFrame:
-    """Per value: sizes, ratio, savings (not below 0) and percentage saved."""
+    """Per value: sizes before and after zlib and what that saves."""
     packed = values.where("text is not null").select("doc_id", "n", F.octet_length(deflated("text")).cast("long").alias("packed"))
-    saved = F.greatest(F.col("n") - F.col("packed"), F.lit(0))
-    return packed.select("*", F.round(F.when(F.col("n") > 0, F.col("packed") / F.col("n")).otherwise(1.0), 6).alias("ratio"), saved.alias("savings"), F.round(F.when(F.col("n") > 0, saved * 100.0 / F.col("n")).otherwise(0.0), 6).alias("percent"))
+    return packed.select("*", *saving_columns("n", "packed"))
 
 
 def bloom_size(keys: int, wrong: float = 0.01) -> tuple[int, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +101,56 @@ def write_run(log: DataFrame, path: str, files: int) -> None:
         .option("parquet.bloom.filter.enabled#k", "true").parquet(path))
 
 
-def running_total(df: DataFrame, order: str, value: Column, out: str, buckets: int | None = None) -> DataFrame:
-    """Running sum of value in the order of a numeric column, without one task that holds all rows.
+def ranged(df: DataFrame, order: str, buckets: int | None = None) -> Column:
+    """Number of the range that a row's value of a numeric column falls in, ranges of about equal numbers of rows; null for null.
 
-    Rows fall into `buckets` even ranges of the order column; each sums its own, and the sums of the ranges before are added
-    from a table of one row per range.
+    The bounds are quantiles of the column, in a literal of two levels, so a row is held against the square root of them.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(order, [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    x = F.col(order)
+    if not bounds:
+        return F.when(x.isNotNull(), 0)
+    side = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[k : k + side] for k in range(0, len(bounds), side)]
+    below = lambda held: F.size(F.filter(held, lambda b: b < x))
+    first = below(F.array(*[F.lit(g[-1]) for g in groups]))
+    inside = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), first)
+    return F.when(x.isNotNull(), first * side + F.when(first < len(groups), below(inside)).otherwise(0))
+
+
+def prefix(df: DataFrame, order: str, value: Column, out: str, how: str = "sum", ties: tuple = (), descending: bool = False, peers: bool = False, buckets: int | None = None) -> DataFrame:
+    """Running sum or minimum of value in the order of a numeric column and of `ties`, without one task that holds all rows.
+
+    Ranges of the order column run on their own; what the ranges before amount to is added from a table of one row per range. Rows without
+    a value of the order column come last. peers: rows equal in order and ties all get what their last one has.
     """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // n))
-    dealt = df.withColumn("_b", F.floor((F.col(order) - low) / width)).withColumn("_v", value)
+    agg = {"sum": F.sum, "min": F.min}[how]
+    number = ranged(df, order, buckets)
+    dealt = df.withColumn("_b", F.coalesce(-number if descending else number, F.lit(1 << 30))).withColumn("_v", value)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = dealt.groupBy("_b").agg(F.sum("_v").alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.withColumn("_own", F.sum("_v").over(own)).join(F.broadcast(base), "_b").withColumn(out, (F.col("_base") + F.col("_own")).cast("long")).drop("_b", "_v", "_own", "_base")
+    base = dealt.groupBy("_b").agg(agg("_v").alias("_s")).select("_b", agg("_s").over(before).alias("_base"))
+    own = Window.partitionBy("_b").orderBy(F.desc_nulls_last(order) if descending else F.asc_nulls_last(order), *ties)
+    own = (own.rangeBetween if peers else own.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
+    both = dealt.withColumn("_own", agg("_v").over(own)).join(F.broadcast(base), "_b")
+    total = F.least("_base", "_own") if how == "min" else F.coalesce("_base", F.lit(0)) + F.coalesce("_own", F.lit(0))
+    return both.withColumn(out, total).drop("_b", "_v", "_own", "_base")
+
+
+def running_total(df: DataFrame, order: str, value: Column, out: str, buckets: int | None = None, ties: tuple = ()) -> DataFrame:
+    """Running sum as a long; see prefix."""
+    return prefix(df, order, value, out, ties=ties, buckets=buckets).withColumn(out, F.col(out).cast("long"))
+
+
+def trailing_count(df: DataFrame, order: str, width: int, out: str) -> DataFrame:
+    """Rows whose value of a numeric column is in [x - width, x] for each row's x. Rows without a value are left out.
+
+    Ranges of 16 widths are counted each with the rows of the width before it, so no task holds all rows.
+    """
+    slot = lambda x: F.floor(x / (16 * width))
+    each = df.withColumn("_slot", F.explode(F.sequence(slot(F.col(order)), slot(F.col(order) + width))))
+    near = Window.partitionBy("_slot").orderBy(order).rangeBetween(-width, 0)
+    return each.withColumn(out, F.count("*").over(near)).where(F.col("_slot") == slot(F.col(order))).drop("_slot")
 
 
 def floor_lookup(keys: DataFrame, blocks: DataFrame) -> DataFrame:

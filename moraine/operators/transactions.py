@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from moraine.operators.log import prefix
 from moraine.storage import shared_root
 
 
@@ -53,14 +54,36 @@ def apply_commits(ops: DataFrame) -> DataFrame:
 def low_watermark_timeline(txns: DataFrame) -> DataFrame:
     """(at_ts, low): after every begin or end, the least read_ts among open transactions (null: none is open).
 
-    read_ts rises with the begin order, so the least open one at an instant is the least read_ts whose commit_ts is later; the
-    join is bounded by how long transactions stay open.
+    The least read_ts of those that end later is that of an open one, or none is open: so a running minimum from the latest end
+    back gives it, however long a transaction stays open.
     """
     instants = txns.select(F.col("read_ts").alias("at_ts")).union(txns.select("commit_ts")).distinct()
-    width = txns.agg(F.coalesce(F.max(F.col("commit_ts") - F.col("read_ts")), F.lit(1))).first()[0] or 1
-    slots = txns.select("read_ts", "commit_ts", F.explode(F.sequence(F.floor(F.col("read_ts") / width), F.floor(F.col("commit_ts") / width))).alias("slot"))
-    open_at = instants.withColumn("slot", F.floor(F.col("at_ts") / width)).join(slots, "slot").where((F.col("read_ts") <= F.col("at_ts")) & (F.col("commit_ts") > F.col("at_ts")))
-    return instants.join(open_at.groupBy("at_ts").agg(F.min("read_ts").alias("low")), "at_ts", "left")
+    rows = instants.select("at_ts", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("read_ts")).union(txns.select("commit_ts", F.lit(1), F.col("read_ts").cast("long")))
+    least = prefix(rows, "at_ts", F.col("read_ts"), "least", "min", ties=("kind",), descending=True).where("kind = 0")
+    return least.select("at_ts", F.when(F.col("least") <= F.col("at_ts"), F.col("least")).alias("low"))
+
+
+def cleaned(committed: DataFrame, read_mark: int | None, now: int, threshold: int = 1000, most: int = 10_000) -> DataFrame:
+    """What a clean-up of committed transactions (txn_id, commit_ts) leaves.
+
+    Of those that ended before the least open read timestamp and before now - threshold, a quarter of `most` go, the oldest first;
+    if more than `most` are left, the newest half of `most` stays.
+    """
+    safe = max(0, now - threshold) if read_mark is None else min(read_mark, max(0, now - threshold))
+    old = committed.where(F.col("commit_ts") < safe).orderBy("commit_ts", "txn_id").limit(most // 4)
+    left = committed.join(old.select("txn_id"), "txn_id", "left_anti").select("txn_id", "commit_ts")
+    return left if left.count() <= most else left.orderBy(F.desc("commit_ts"), F.desc("txn_id")).limit(most // 2)
+
+
+def group_watermark(pending: DataFrame) -> DataFrame:
+    """(low): the least pending ts of a group of marks (mark, ts); the largest long where nothing is pending."""
+    return pending.groupBy("mark").agg(F.min("ts").alias("ts")).agg(F.coalesce(F.min("ts"), F.lit(2**63 - 1)).alias("low"))
+
+
+def key_sets(ops: DataFrame) -> DataFrame:
+    """txn_id, reads, writes: the sorted distinct keys that each transaction has read and written; writes are its conflict keys."""
+    keys = lambda op: F.array_sort(F.collect_set(F.when(F.col("op") == op, F.col("k"))))
+    return ops.groupBy("txn_id").agg(keys("r").alias("reads"), keys("w").alias("writes"))
 
 
 class Oracle:

@@ -11,9 +11,12 @@ HEADER, THRESHOLD, FILE_BYTES = 12, 1024, 1 << 20
 
 
 def assign_pointers(values: DataFrame, order: str = "doc_id", payload: str = "text", threshold: int = THRESHOLD, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Add n, is_external, file_id and log_offset: where each value stands in the value log, in the order of a numeric column."""
+    """Add n, is_external, file_id and log_offset: where each value stands in the value log, in the order of a numeric column.
+
+    Values of equal order stand by their hash, so equal rows may change places but no offset is given twice; those without one stand last.
+    """
     sized = values.withColumn("n", F.coalesce(F.octet_length(payload).cast("long"), F.lit(0)))
-    placed = running_total(sized, order, F.col("n") + HEADER, "end_off")
+    placed = running_total(sized, order, F.col("n") + HEADER, "end_off", ties=(F.xxhash64(payload),))
     return placed.select("*", (F.col("n") >= threshold).alias("is_external"), F.floor(F.col("end_off") / file_bytes).cast("int").alias("file_id"), (F.col("end_off") - F.col("n") - HEADER).alias("log_offset")).drop("end_off")
 
 

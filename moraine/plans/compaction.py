@@ -69,9 +69,9 @@ def explained(jobs: DataFrame) -> DataFrame:
     return jobs.select("level", said.alias("said"))
 
 
-def throttled(jobs: DataFrame, most_pending: int = 32, delay_ms: int = 10) -> DataFrame:
-    """level, priority, throttled (so many levels wait), delay_ms: halved for a pressing job."""
-    pending = jobs.where("needed").agg((F.count("*") >= most_pending).alias("throttled"))
+def throttled(jobs: DataFrame, active_workers: int = 0, most_workers: int = 4, most_pending: int = 32, delay_ms: int = 10) -> DataFrame:
+    """level, priority, throttled (all workers are at work or so many levels wait), delay_ms: halved for a pressing job."""
+    pending = jobs.where("needed").agg(((F.count("*") >= most_pending) | F.lit(active_workers >= most_workers)).alias("throttled"))
     return jobs.join(F.broadcast(pending), F.lit(True)).select("level", "priority", "throttled", F.when(F.col("priority") > 0.8, delay_ms // 2).otherwise(delay_ms).alias("delay_ms"))
 
 

@@ -75,30 +75,66 @@ def verify_checksums(entries: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def encode_log(log: DataFrame) -> DataFrame:
-    return encoded(log).select("ts", F.lower(F.hex(F.substring("record", HEAD.size + 1, 1 << 30))).alias("payload"))
+    return encoded(log).select("ts", F.lower(F.hex("record")).alias("record"))
 
 
-def replay(files: DataFrame) -> DataFrame:
-    """Rows of binaryFile-like input (content)."""
+def sealed(entries: list[bytes], footer: bool) -> bytes:
+    """A table file of encoded records, or a log segment with a zero-filled tail."""
+    data = b"".join(entries)
+    return data + (FOOT.pack(len(entries), zlib.crc32(data), MAGIC) if footer else bytes(64))
+
+
+def unsealed(content: bytes, name: str = "file") -> bytes:
+    """The records of a table file; refuses a file without the magic or whose records do not meet the checksum."""
+    _, crc, magic = FOOT.unpack(content[-FOOT.size :])
+    data = content[: -FOOT.size]
+    if magic != MAGIC:
+        raise ValueError(f"{name} is no table file")
+    if zlib.crc32(data) != crc:
+        raise ValueError(f"{name} does not meet its checksum")
+    return data
+
+
+def replay(files: DataFrame, footer: bool = False) -> DataFrame:
+    """Rows of binaryFile-like input (content), of log segments or (footer) of table files, whose checksums are verified."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                got = [(k.decode(), v.decode(), ts, meta) for k, v, ts, meta in decode(content)]
+                got = [(k.decode(), v.decode(), ts, meta) for k, v, ts, meta in decode(unsealed(content) if footer else content)]
                 yield pd.DataFrame(got, columns=["k", "v", "ts", "meta"])
 
     return files.select("content").mapInPandas(rows, SCHEMA)
 
 
-def segments(log: DataFrame, parts: int) -> DataFrame:
-    """The log as `parts` binary segments (content), each in the order of ts; a zero-filled tail follows."""
-    rows = encoded(log).groupBy(F.pmod("ts", F.lit(parts)).alias("segment")).agg(F.array_sort(F.collect_list(F.struct("ts", "record"))).alias("rs"))
-    hexed = F.array_join(F.transform("rs", lambda r: F.hex(r["record"])), "")
-    return rows.select("segment", F.unhex(F.concat(hexed, F.lit("00" * 64))).alias("content"))
+def read_files(spark: SparkSession, path: str, footer: bool) -> DataFrame:
+    """Rows of the log or table files of a path or glob of any file system that Spark reads."""
+    return replay(spark.read.format("binaryFile").load(path), footer)
+
+
+def segments(log: DataFrame, order: str = "ts", footer: bool = False, size: int = 4 << 20) -> DataFrame:
+    """The log as binary files (content) of about `size` bytes, each a run of rows in rising order: log segments with a zero-filled tail, or table files with a footer.
+
+    Ranges of the order column are cut on their own, so no task holds more than its range and one file.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            for record in b["record"]:
+                held.append(record)
+                n += len(record)
+                if n >= size:
+                    yield pd.DataFrame({"content": [sealed(held, footer)]})
+                    held, n = [], 0
+        if held:
+            yield pd.DataFrame({"content": [sealed(held, footer)]})
+
+    return encoded(log).repartitionByRange(F.col(order)).sortWithinPartitions(order).select("record").mapInPandas(cut, "content binary")
 
 
 def replay_roundtrip(log: DataFrame) -> DataFrame:
-    return replay(segments(log, 16))
+    return replay(segments(log))
 
 
 class Files(InputPartition):
@@ -119,12 +155,7 @@ class RecordReader(DataSourceReader):
         with open(partition.path, "rb") as f:
             data = f.read()
         if self.footer:
-            _, crc, magic = FOOT.unpack(data[-FOOT.size :])
-            if magic != MAGIC:
-                raise ValueError(f"{partition.path} is no table file")
-            data = data[: -FOOT.size]
-            if zlib.crc32(data) != crc:
-                raise ValueError(f"{partition.path} does not meet its checksum")
+            data = unsealed(data, partition.path)
         for k, v, ts, meta in decode(data):
             yield k.decode(), v.decode(), ts, meta
 
@@ -161,16 +192,14 @@ def write_table_file(rows: list[tuple[str, str, int, int]], path: str) -> None:
     """A sorted table file of rows in strictly rising key order."""
     if any(a[0] >= b[0] for a, b in zip(rows, rows[1:], strict=False)):
         raise ValueError("keys must rise")
-    data = b"".join(encode(k.encode(), v.encode(), ts, meta) for k, v, ts, meta in rows)
     with open(path, "wb") as f:
-        f.write(data + FOOT.pack(len(rows), zlib.crc32(data), MAGIC))
+        f.write(sealed([encode(k.encode(), v.encode(), ts, meta) for k, v, ts, meta in rows], True))
 
 
 def table_roundtrip(log: DataFrame) -> DataFrame:
-    """The newest versions through binary files that a Spark writer has written and a binary reader reads."""
+    """The newest versions through table files that a Spark writer has written and a binary reader verifies and reads."""
     from moraine.operators.log import latest
 
-    spark = log.sparkSession
-    path = fresh_path(spark, "tables")
-    segments(latest(log), 8).write.parquet(path)
-    return replay(spark.read.parquet(path))
+    spark, path = log.sparkSession, fresh_path(log.sparkSession, "tables")
+    segments(latest(log), "k", footer=True).write.parquet(path)
+    return replay(spark.read.parquet(path), footer=True)

@@ -26,6 +26,7 @@ VIEWS = {
     "budgets": "select level, cast(40000 * power(10.0e0, level) as bigint) as budget from (select distinct level from sst_files) l",
     "blocks": "select file_id, block_no, min(k) as first_key, max(k) as last_key, min(ts) as min_ts, max(ts) as max_ts, count(*) as n from (select k, ts, f.file_id, cast(floor(coalesce(sum(sz) over (partition by f.file_id order by k, ts rows between unbounded preceding and 1 preceding), 0) / 4096.0) as int) as block_no from (select k, ts, run_id * 100 + cast(floor(cast(substr(k, 6, 6) as int) / 30.0) as int) as file_id, 17 + length(k) + length(v) as sz from kv_runs) f) g group by file_id, block_no",
     "error_log": "select event_id, ts as at_ts, concat('E', cast(cast({J} as int) % 6 as {S})) as err from events where event_type = 'error'",
+    "items": "select l_orderkey, l_linenumber, l_extendedprice, l_discount from lineitem",
     "bench_runs": "select cast(ts as date) as run_day, count(*) as ops from events group by cast(ts as date)",
 }
 
