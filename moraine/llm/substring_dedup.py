@@ -51,7 +51,10 @@ def cut_places(words: np.ndarray) -> np.ndarray:
 
 
 def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(two signed halves of the digest, first code point, code point after the last) of every chunk of the whole text; none without words."""
+    """(two signed halves of the digest, first code point, code point after the last) of every chunk of the whole text; none without words.
+
+    The white space between a chunk and the next word belongs to it, so chunks that follow each other touch.
+    """
     raw = (text or "").encode("utf-8", "surrogatepass")
     start, end, words = word_spans(raw)
     n = len(words)
@@ -68,7 +71,8 @@ def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         sums = np.r_[_U(0), np.cumsum(mixed(words + _U(2 * k + 1)) * up, dtype=_U)]
         halves.append(mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(_U)).view(np.int64))
     points = np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)
-    return *halves, points[start[a]] - 1, points[end[b - 1] - 1]
+    stop = np.where(b < n, points[start[np.minimum(b, n - 1)]] - 1, points[end[n - 1] - 1])
+    return *halves, points[start[a]] - 1, stop
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
