@@ -55,13 +55,16 @@ class JsonEncoder:
 
     def ordinary(self, text: str) -> list[int]:
         """Ids of a text without special strings. A long run of white space is one piece, but for its last character where more text follows."""
+        # a run of 1,000 holds 250 characters from some multiple of 500 on
+        if len(text) < 1000 or not any(text[p : p + 250].isspace() for p in range(0, len(text), 500)):
+            return self.fast.encode_ordinary(text)
         out, at = [], 0
         for run in LONG_RUN.finditer(text):
             stop = run.end() - (run.end() < len(text))
             out += self.fast.encode_ordinary(text[at : run.start()])
             out += self.fast._encode_single_piece(text[run.start() : stop])
             at = stop
-        return out + self.fast.encode_ordinary(text[at:]) if at else self.fast.encode_ordinary(text)
+        return out + self.fast.encode_ordinary(text[at:])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
