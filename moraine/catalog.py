@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from moraine import config
 from moraine.functions import codecs
-from moraine.operators import log, transactions, values
+from moraine.operators import log, session, transactions, values
 from moraine.plans import compaction
 from moraine.sources import records
+from moraine.storage import fresh_path
 from moraine.streaming import feeds
 from moraine.views import duckdb_sql, spark_sql, view
 
@@ -47,6 +48,19 @@ def against_asked(op: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[
     return lambda spark, sf_dir: op(view(spark, sf_dir, "kv_log"), asked(spark, sf_dir))
 
 
+def txn_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the latest versions, on which one transaction reads, sets a key, deletes another, and commits."""
+    table = session.LogTable(spark, fresh_path(spark, "session"))
+    table.append(view(spark, sf_dir, "latest").select("k", "v", "meta"))
+
+    def body(txn: session.Txn) -> None:
+        txn.set(KEY, f"{len(txn.get(KEY) or '')} characters")
+        txn.delete("user:000010:view")
+
+    table.run(body)
+    return log.live(table.log()).select("k", "v")
+
+
 # Point, multi-point and existence reads
 frame("latest_per_key", log.live, LIVE, "kv_log")
 frame("snapshot_asof", lambda t: log.as_of(t, 5000), "select * from (select k, max_by(v, ts) as v, max(ts) as ts, max_by(meta, ts) as meta from kv_log where ts <= 5000 group by k) x where meta % 2 = 0", "kv_log")
@@ -159,6 +173,8 @@ frame("txn_commit_apply", transactions.apply_commits, f"select k, max_by(v, op_s
 frame("txn_replay", transactions.replay, f"select txn_id, committed from {REPLAY} c", "txn_ops")
 text("txn_outcomes", f"select count(*) as started, count(*) - count(c.txn_id) as committed, count(c.txn_id) as aborted from txns t left join ({CONFLICT}) c on t.txn_id = c.txn_id")
 text("txn_sizes", "select txn_id, count(distinct case when op = 'r' then k end) as n_reads, count(case when op = 'w' then 1 end) as n_writes, cast(sum(case when op = 'w' then length(k) + length(v) else 0 end) as bigint) as bytes from txn_ops group by txn_id")
+QUERIES["txn_session"] = txn_session
+ORACLE_SQL["txn_session"] = duckdb_sql(f"select k, v from ({LIVE}) l where k not in ('{KEY}', 'user:000010:view') union all select '{KEY}', concat(coalesce(max(length(v)), 0), ' characters') from ({LIVE}) l where k = '{KEY}'")
 text("txn_limit_violations", "select txn_id from txn_ops group by txn_id having count(distinct case when op = 'r' then k end) > 4 or count(case when op = 'w' then 1 end) > 1000")
 frame("txn_sets", lambda o: transactions.key_sets(o).select("txn_id", F.array_join("reads", ",").alias("reads"), F.array_join("writes", ",").alias("writes")), "select txn_id, coalesce(string_agg(distinct case when op = 'r' then k end, ',' order by case when op = 'r' then k end), '') as reads, coalesce(string_agg(distinct case when op = 'w' then k end, ',' order by case when op = 'w' then k end), '') as writes from txn_ops group by txn_id", "txn_ops")
 frame("assign_ts", lambda t: log.running_total(t.select("txn_id"), "txn_id", F.lit(1), "ts"), "select txn_id, row_number() over (order by txn_id) as ts from txns", "txns")
@@ -281,5 +297,11 @@ QUERIES["stream_latest"] = feeds.stream_latest
 ORACLE_SQL["stream_latest"] = duckdb_sql("select user_id, count(*) as n, max(event_id) as last_event from events group by user_id")
 QUERIES["stream_window_counts"] = feeds.stream_window_counts
 ORACLE_SQL["stream_window_counts"] = "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by all"
+QUERIES["stream_sliding_counts"] = feeds.stream_sliding_counts
+ORACLE_SQL["stream_sliding_counts"] = "select s as start_at, count(*) as n from (select unnest([b, b - interval 30 minutes]) as s from (select time_bucket(interval 30 minutes, ts) as b from events) e) w group by s"
+QUERIES["stream_sessions"] = feeds.stream_sessions
+ORACLE_SQL["stream_sessions"] = "select user_id, min(ts) as start_at, max(ts) + interval 6 hours as stop_at, count(*) as n from (select user_id, ts, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from (select user_id, ts, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 6 hours then 0 else 1 end as fresh from events) e) s group by user_id, session having max(ts) + interval 6 hours <= (select max(ts) - interval 2 days from events)"
+QUERIES["stream_first_seen"] = feeds.stream_first_seen
+ORACLE_SQL["stream_first_seen"] = "select distinct event_id from events"
 QUERIES["stream_apply_batches"] = feeds.stream_apply_batches
 ORACLE_SQL["stream_apply_batches"] = ORACLE_SQL["stream_latest"]
