@@ -28,6 +28,8 @@ from moraine.llm.components import components
 ROWS, MISS, STRIP = 5, 1e-6, 8192
 #: A block holds about so many nodes, and about so many shingles (or one larger set).
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: About so many members of one band group meet its facts in one task.
+DEAL = 1024
 _U = np.uint64
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -144,6 +146,17 @@ def link_group(nodes: list[int], parts: list[int], labels: list[int], sets: list
     return out
 
 
+def beside(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Members (node, key, m, ...) of band groups of m with the facts (key, m, ...; one row a group) of their group.
+
+    A group is dealt into parts of about DEAL members, each of which meets its own copy of the facts, so no task reads a large group.
+    """
+    parts = F.ceil(F.col("m") / DEAL)
+    dealt = members.withColumn("deal", F.pmod(F.xxhash64("node", F.lit(2)), parts))
+    copied = facts.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(copied, ["key", "m", "deal"]).drop("deal")
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, text_key (a hash of the text), n_shingles, component_id, kept; see near_duplicates.
 
@@ -175,8 +188,8 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     shared = materialize(keyed.join(buckets.select("key", "m"), "key"), "members", scratch)
 
     near = shared.groupBy("node").agg(F.sum("m").alias("near"))
-    centers = shared.join(near, "node").groupBy("key").agg(F.max(F.struct("near", "node")).alias("center"))
-    first = shared.join(centers, "key").where("node <> center.node").groupBy("node").agg(F.max("center").alias("c")).select("node", F.col("c.node").alias("center"))
+    centers = shared.join(near, "node").groupBy("key", "m").agg(F.max(F.struct("near", "node")).alias("center"))
+    first = beside(shared, centers).where("node <> center.node").groupBy("node").agg(F.max("center").alias("c")).select("node", F.col("c.node").alias("center"))
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
     texts = rows.join(wanted, (F.col("doc_id") == F.col("of_doc")) & (F.col("text_key") == F.col("of_text"))).select("node", "text").dropDuplicates(["node"])
     texts = materialize(texts, "texts", scratch)
@@ -199,11 +212,11 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     label = components(links, scratch)
 
     def open_members(label: DataFrame) -> DataFrame:
-        """node, n, key, label of the band groups that hold several components; of groups with the same members one."""
-        left = shared.select("node", "n", "key").join(label, "node", "left").select("node", "n", "key", F.coalesce("label", "node").alias("label"))
+        """node, n, key, m, label of the band groups that hold several components; of groups with the same members one."""
+        left = shared.join(label, "node", "left").select("node", "n", "key", "m", F.coalesce("label", "node").alias("label"))
         open_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        one_each = buckets.join(open_keys, "key").groupBy("m", "members").agg(F.min("key").alias("key")).select("key")
-        return materialize(left.join(one_each, "key", "left_semi"), "open", scratch)
+        one_each = buckets.join(open_keys, "key").groupBy("m", "members").agg(F.min("key").alias("key")).select("key", "m")
+        return materialize(beside(left, one_each), "open", scratch)
 
     def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         if g["label"].nunique() < 2:
@@ -219,19 +232,19 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     dealt = F.xxhash64("node", F.lit(1))
     left = open_members(label)
     if not left.isEmpty():
-        inside = left.join(left.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
+        inside = beside(left, left.groupBy("key", "m").agg(blocks.alias("blocks"))).withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
         links = links.union(compared(inside.select("node", "label", "key", "part", F.col("part").alias("p"), F.col("part").alias("q"))))
         label = components(links, scratch)
         left = open_members(label)  # a group of one block has been compared as a whole
-        left = left.join(left.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1"), "key", "left_semi")
+        left = beside(left, left.groupBy("key", "m").agg(blocks.alias("blocks")).where("blocks > 1"))
     if not left.isEmpty():
-        most = left.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("top")).select("key", F.col("top.label").alias("top"))
-        left = materialize(left.join(most, "key").select("node", "n", "key", "label", (F.col("label") != F.col("top")).alias("rest")), "sides", scratch)
-        sides = left.groupBy("key", "rest").agg(blocks.alias("blocks")).groupBy("key")
+        most = left.groupBy("key", "m", "label").count().groupBy("key", "m").agg(F.max(F.struct("count", "label")).alias("top")).select("key", "m", F.col("top.label").alias("top"))
+        left = materialize(beside(left, most).select("node", "n", "key", "m", "label", (F.col("label") != F.col("top")).alias("rest")), "sides", scratch)
+        sides = left.groupBy("key", "m", "rest").agg(blocks.alias("blocks")).groupBy("key", "m")
         sides = sides.agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("b_rest"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("b_top"))
         part = F.when(F.col("rest"), F.pmod(dealt, F.col("b_rest"))).otherwise(F.col("b_rest") + F.pmod(dealt, F.col("b_top"))).cast("int")
         every = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("b_rest") + F.col("b_top") - 1).otherwise(F.col("b_rest") - 1))
-        inside = left.join(sides, "key").withColumn("part", part).select("node", "label", "key", "part", F.explode(every).alias("other"))
+        inside = beside(left, sides).withColumn("part", part).select("node", "label", "key", "part", F.explode(every).alias("other"))
         links = links.union(compared(inside.select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))))
         label = components(links, scratch)
     named = nodes.join(label, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))
