@@ -270,12 +270,11 @@ text("retry_schedule", "select n, cast(least(100 * power(2.0e0, n), 5000) as big
 text("retryable_errors", "select e.err, count(*) as n, e.err in ('E1', 'E3', 'E5') as retryable from error_log e group by e.err")
 FNV = "list_reduce(list_transform(regexp_extract_all(hex(encode(v)), '..'), lambda h: ('0x' || h)::hugeint), lambda acc, b: (xor(acc, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint, 14695981039346656037::hugeint)"
 frame("fnv1a_checksum", codecs.checksums, f"select ts, case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end::bigint as checksum from (select ts, {FNV} as h from kv_log) x", "kv_log")
-frame("block_crc32", lambda r: records.block_checksums(records.block_entries(r)), None, "kv_runs")
 frame("zlib_roundtrip", codecs.zlib_roundtrip, "select doc_id, sha256(text) as sha from sizes where text is not null", "sizes")
 frame("compression_arithmetic", lambda i: i.select("l_orderkey", "l_linenumber", F.floor("l_extendedprice").alias("n"), F.floor(F.col("l_extendedprice") * (1 + F.col("l_discount") * 2) / 2).cast("long").alias("packed")).select("*", *codecs.saving_columns("n", "packed")), "select *, round(case when n > 0 then packed * 1.0e0 / n else 1 end, 6) as ratio, greatest(n - packed, 0) as savings, round(case when n > 0 then greatest(n - packed, 0) * 100.0e0 / n else 0 end, 6) as percent, round(case when packed > 0 then greatest(n - packed, 0) * 1.0e0 / packed else 0 end, 6) as efficiency from (select l_orderkey, l_linenumber, floor(l_extendedprice)::bigint as n, floor(l_extendedprice * (1 + l_discount * 2) / 2)::bigint as packed from lineitem) x", "items")
 frame("compression_stats", codecs.compression_stats, None, "sizes")
-frame("bloom_build", codecs.bloom_filters, None, "kv_runs")
-frame("bloom_probe", codecs.bloom_probe, None, "kv_runs", "kv_log")
+
+
 def _little_sql(number: str, size: int) -> str:
     return " || ".join(f"substr(printf('%0{2 * size}x', {number}), {i}, 2)" for i in range(2 * size - 1, 0, -2))
 
@@ -283,6 +282,35 @@ def _little_sql(number: str, size: int) -> str:
 RECORD = f"{_little_sql('octet_length(encode(k))', 4)} || {_little_sql('octet_length(encode(v))', 4)} || {_little_sql('ts', 8)} || {_little_sql('meta', 1)} || lower(hex(encode(k || v)))"
 frame("wal_encode", records.encode_log, f"select ts, {RECORD} as record from kv_log", "kv_log")
 frame("wal_replay", records.replay_roundtrip, "select k, v, ts, meta from kv_log", "kv_log")
+CRC_TABLE = "(select list(c order by i) from (select i, list_reduce(list_prepend(i, range(8)), lambda c, n: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from (select unnest(range(256)) as i)))"
+CRC_SQL = f"""select file_id, block_no, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(body, '..'), lambda h: ('0x' || h)::bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::bigint) as crc
+  from (select file_id, block_no, {_little_sql(str(records.BLOCK_MAGIC), 4)} || {_little_sql('count(*)', 4)} || {_little_sql('min(ts)', 8)} || {_little_sql('max(ts)', 8)} || string_agg(record, '' order by k, ts) as body
+    from (select file_id, k, ts, floor(coalesce(sum(17 + length(k) + length(v)) over (partition by file_id order by k, ts rows between unbounded preceding and 1 preceding), 0) / 4096.0)::int as block_no, {RECORD} as record
+      from (select *, run_id * 100 + floor(substr(k, 6, 6)::int / 30.0)::int as file_id from kv_runs) f) g group by file_id, block_no) b, (select {CRC_TABLE} as t) c"""
+frame("block_crc32", lambda r: records.block_checksums(records.block_entries(r)), CRC_SQL, "kv_runs")
+
+
+def _times_sql(x: str) -> str:
+    return f"(({x}) * {codecs.MURMUR_M}::uhugeint % 18446744073709551616::uhugeint)"
+
+
+def _fold_sql(x: str) -> str:
+    return f"xor({x}, {x} // {2**codecs.MURMUR_R}::uhugeint)"
+
+
+_WORD = "('0x' || array_to_string(list_reverse(regexp_extract_all(w, '..')), ''))::uhugeint"
+_MIXED = f"list_transform(list_transform(list_transform(regexp_extract_all(hex(encode(k)), '.{{16}}'), lambda w: {_times_sql(_WORD)}), lambda x: {_fold_sql('x')}), lambda x: {_times_sql('x')})"
+_STEPS = f"{_MIXED} || list_transform(regexp_extract_all(substr(hex(encode(k)), octet_length(encode(k)) // 8 * 16 + 1), '.+'), lambda w: {_WORD})"
+_SEEDED = f"list_reduce(list_prepend(xor(seed::uhugeint, {_times_sql('octet_length(encode(k))::uhugeint')}), steps), lambda h, x: {_times_sql('xor(h, x)')})"
+_FINAL = _fold_sql("h2")
+BLOOM_SIZES = """(select run_id, n_keys, bits, greatest(round(bits / n_keys * ln(2)), 1)::int as hashes
+    from (select run_id, count(distinct k) as n_keys, greatest(ceil(-count(distinct k) * ln(0.01) / (ln(2) * ln(2))), 1)::bigint as bits from kv_runs group by run_id))"""
+BLOOM_HASHES = f"""(select k, seed, {_FINAL} as h from (select k, seed, {_times_sql(_fold_sql('h1'))} as h2 from (select k, seed, {_SEEDED} as h1
+    from (select k, {_STEPS} as steps from (select distinct k from kv_log)), (select unnest(range((select max(hashes) from {BLOOM_SIZES}))) as seed))))"""
+BLOOM_BITS = f"(select distinct run_id, (h % bits::uhugeint)::bigint as place from (select distinct run_id, k from kv_runs) join {BLOOM_SIZES} s using (run_id) join {BLOOM_HASHES} using (k) where seed < hashes)"
+frame("bloom_build", lambda r: codecs.bloom_filters(r).withColumn("filter", F.lower(F.hex("filter"))), f"""select run_id, n_keys, bits, hashes, filter from {BLOOM_SIZES} s join (select run_id, string_agg(printf('%02x', held::int), '' order by byte) as filter
+  from (select run_id, byte, coalesce(held, 0) as held from (select run_id, unnest(range((bits + 7) // 8)) as byte from {BLOOM_SIZES}) x left join (select run_id, place // 8 as byte, sum(1 << (place % 8)::int) as held from {BLOOM_BITS} group by run_id, place // 8) y using (run_id, byte)) z group by run_id) f using (run_id)""", "kv_runs")
+frame("bloom_probe", codecs.bloom_probe, f"select run_id, k, bool_and(b.place is not null) as maybe from (select run_id, k, (h % bits::uhugeint)::bigint as place from {BLOOM_SIZES} s, {BLOOM_HASHES} t where seed < hashes) a left join {BLOOM_BITS} b using (run_id, place) group by run_id, k", "kv_runs", "kv_log")
 frame("sst_reader", records.table_roundtrip, "select k, v, ts, meta from latest", "kv_log")
 #: The rules of the settings over each preset's values: memory in bytes, and what the settings suit.
 SETTINGS = """select * from (values ('default', 64, 5, 64, 256, 4, 1024, 'zlib'), ('development', 1, 5, 64, 16, 1, 10, 'none'), ('production', 128, 5, 64, 512, 8, 2048, 'zlib'),

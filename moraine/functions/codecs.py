@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
 #: Offset basis and prime of 64-bit FNV-1a; multiplier and shift of the seeded 64-bit hash.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -140,39 +141,74 @@ def bloom_size(keys: int, wrong: float = 0.01) -> tuple[int, int]:
     return bits, max(1, round(bits / max(1, keys) * np.log(2)))
 
 
-def bloom_bits(key: bytes, bits: int, hashes: int) -> list[int]:
-    return [seeded_hash(key, i) % bits for i in range(hashes)]
+def seeded_hashes(items: list[bytes], seeds: np.ndarray) -> np.ndarray:
+    """seeded_hash of all items (rows) by all seeds (columns), a word place at a time."""
+    size = np.array([len(x) for x in items], dtype=np.int64)
+    start = np.cumsum(-(-size // 8)) - -(-size // 8)
+    flat = np.frombuffer(b"".join(x.ljust(-(-len(x) // 8) * 8, b"\0") for x in items), dtype="<u8")
+    m, r = np.uint64(MURMUR_M), np.uint64(MURMUR_R)
+    h = seeds.astype(np.uint64)[None, :] ^ (size.astype(np.uint64) * m)[:, None]
+    for j in range(-(-size.max(initial=0) // 8)):
+        longer = np.flatnonzero(size > 8 * j)
+        word = flat[start[longer] + j]
+        k = word * m
+        k = np.where(size[longer] >= 8 * j + 8, (k ^ k >> r) * m, word)  # the tail enters as it is
+        h[longer] = (h[longer] ^ k[:, None]) * m
+    h = (h ^ h >> r) * m
+    return h ^ h >> r
 
 
-def bloom_filters(runs: DataFrame, wrong: float = 0.01) -> DataFrame:
-    """(run_id, n_keys, bits, hashes, filter): one filter per run, or-ed from those of hashed parts, so no task holds a run's keys."""
-    keys = runs.select("run_id", "k").distinct()
-    sized = keys.groupBy("run_id").agg(F.count("*").alias("n_keys"))
-    schema = "run_id int, n_keys long, bits long, hashes int, filter binary"
+@F.pandas_udf(ArrayType(LongType()))
+def bloom_places(k: pd.Series, bits: pd.Series, hashes: pd.Series) -> pd.Series:
+    """The bits of a filter of so many bits that a key sets."""
+    most = int(hashes.max()) if len(hashes) else 0
+    at = seeded_hashes([x.encode() for x in k], np.arange(most)) % bits.to_numpy().astype(np.uint64)[:, None]
+    return pd.Series([row[:n] for row, n in zip(at.astype(np.int64), hashes, strict=True)])
 
-    def part(g: pd.DataFrame) -> pd.DataFrame:
-        n = int(g["n_keys"].iloc[0])
-        bits, hashes = bloom_size(n, wrong)
-        held = np.zeros(-(-bits // 8), dtype=np.uint8)
-        for k in g["k"]:
-            for b in bloom_bits(k.encode(), bits, hashes):
-                held[b >> 3] |= 1 << (b & 7)
-        return pd.DataFrame({"run_id": [g["run_id"].iloc[0]], "n_keys": [n], "bits": [bits], "hashes": [hashes], "filter": [held.tobytes()]})
 
-    def union(g: pd.DataFrame) -> pd.DataFrame:
-        held = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in g["filter"]])
-        return g.iloc[:1].assign(filter=[held.tobytes()])
+def run_sizes(runs: DataFrame, wrong: float = 0.01) -> DataFrame:
+    """(run_id, n_keys, bits, hashes) of every run of (run_id, k); null keys do not count."""
+    counted = runs.where("k is not null").groupBy("run_id").agg(F.countDistinct("k").alias("n_keys"))
+    bits = F.greatest(F.ceil(-F.col("n_keys") * math.log(wrong) / math.log(2) ** 2), F.lit(1)).cast("long")
+    return counted.withColumn("bits", bits).withColumn("hashes", F.greatest(F.round(F.col("bits") / F.col("n_keys") * math.log(2)), F.lit(1)).cast("int"))
 
-    parts = keys.join(sized, "run_id").withColumn("part", F.pmod(F.xxhash64("k"), F.lit(32))).groupBy("run_id", "part").applyInPandas(part, schema)
-    return parts.groupBy("run_id").applyInPandas(union, schema)
 
+def words_of(keys: DataFrame) -> DataFrame:
+    """Keys (k, bits, hashes, ...) with, a row each, the 64-bit words of the filter that they touch and the bit of it."""
+    at = keys.withColumn("at", F.explode(bloom_places("k", "bits", "hashes")))
+    return at.withColumn("word", F.shiftright("at", 6)).withColumn("mask", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))).drop("at")
 
-def bloom_probe(runs: DataFrame, log: DataFrame) -> DataFrame:
-    """(run_id, k, maybe): what each run's filter says about every key of the log."""
-    asked = log.select("k").distinct().withColumn("run_id", F.explode(F.array(*[F.lit(i) for i in range(4)])))
 
-    @F.pandas_udf("boolean")
-    def maybe(k: pd.Series, filters: pd.Series, bits: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([all(f[b >> 3] >> (b & 7) & 1 for b in bloom_bits(x.encode(), n, h)) for x, f, n, h in zip(k, filters, bits, hashes, strict=True)])
+def bloom_words(runs: DataFrame, wrong: float = 0.01) -> DataFrame:
+    """(run_id, n_keys, bits, hashes, word, held): the words of every run's filter that are not 0. Keys are or-ed before the shuffle, and no task holds a whole filter."""
+    keys = runs.where("k is not null").select("run_id", "k").join(run_sizes(runs, wrong), "run_id")
+    return words_of(keys).groupBy("run_id", "n_keys", "bits", "hashes", "word").agg(F.bit_or("mask").alias("held"))
+
+
+def bloom_filters(runs: DataFrame, wrong: float = 0.01) -> DataFrame:
+    """(run_id, n_keys, bits, hashes, filter): the filter of every run as bytes, least bit first. Runs without a key have none."""
 
-    return asked.join(bloom_filters(runs), "run_id").select("run_id", "k", maybe("k", "filter", "bits", "hashes").alias("maybe"))
+    @F.pandas_udf(BinaryType())
+    def laid_out(words: pd.Series, held: pd.Series, bits: pd.Series) -> pd.Series:
+        def one(at: np.ndarray, values: np.ndarray, n: int) -> bytes:
+            full = np.zeros(-(-n // 64), dtype="<i8")
+            full[at] = values
+            return full.tobytes()[: -(-n // 8)]
+
+        return pd.Series([one(*x) for x in zip(words, held, bits, strict=True)])
+
+    whole = bloom_words(runs, wrong).groupBy("run_id", "n_keys", "bits", "hashes").agg(F.collect_list(F.struct("word", "held")).alias("w"))
+    return whole.select("run_id", "n_keys", "bits", "hashes", laid_out("w.word", "w.held", "bits").alias("filter"))
+
+
+def bloom_probe(runs: DataFrame, log: DataFrame) -> DataFrame:
+    """(run_id, k, maybe): what each run's filter says about every key of the log. Keys meet the words that they touch, never a whole filter.
+
+    Only the sizes of the runs, a row each, come to the driver.
+    """
+    sizes = [F.struct(*[F.lit(r[c]).alias(c) for c in ("run_id", "bits", "hashes")]) for r in run_sizes(runs).collect()]
+    keys = log.where("k is not null").select("k").distinct()
+    asked = keys.select("k", F.explode(F.array(*sizes)).alias("r")) if sizes else keys.limit(0).select("k", F.struct(F.lit(0).alias("run_id"), F.lit(0).cast("long").alias("bits"), F.lit(0).alias("hashes")).alias("r"))
+    held = bloom_words(runs).select("run_id", "word", "held")
+    met = words_of(asked.select("k", "r.*")).join(held, ["run_id", "word"], "left")
+    return met.groupBy("run_id", "k").agg(F.every(F.coalesce(F.col("held").bitwiseAND(F.col("mask")) != 0, F.lit(False))).alias("maybe"))

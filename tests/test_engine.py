@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,8 @@ def test_codecs():
     assert codecs.fnv1a_many([b"abc", b"", b"abcd"]).tolist() == [codecs.fnv1a(x) for x in (b"abc", b"", b"abcd")]
     bits, hashes = codecs.bloom_size(1000)
     assert (bits, hashes) == (9586, 7)
+    odd = [b"", b"k", b"12345678", b"123456789", "\u00e9".encode() * 20, b"x" * 1000]
+    assert codecs.seeded_hashes(odd, np.arange(5)).tolist() == [[codecs.seeded_hash(x, i) for i in range(5)] for x in odd]
     data = records.encode(b"k", b"v", 7, 3) + records.encode(b"kk", b"", 8, 0)
     assert list(records.decode(data + b"\0" * 40)) == [(b"k", b"v", 7, 3), (b"kk", b"", 8, 0)]
     assert list(records.decode(data[:-1])) == [(b"k", b"v", 7, 3)]
@@ -159,6 +162,14 @@ def test_no_false_negatives(spark):
     df = spark.createDataFrame([(i % 4, f"k{i}") for i in range(400)], "run_id int, k string")
     maybe = {(r.run_id, r.k): r.maybe for r in codecs.bloom_probe(df, df).collect()}
     assert all(maybe[i % 4, f"k{i}"] for i in range(400)) and sum(maybe.values()) < 460
+    for r in codecs.bloom_filters(df).collect():
+        held = np.unpackbits(np.frombuffer(bytes(r.filter), dtype=np.uint8), bitorder="little")
+        want = {codecs.seeded_hash(f"k{i}".encode(), j) % r.bits for i in range(r.run_id, 400, 4) for j in range(r.hashes)}
+        assert (r.bits, r.hashes) == codecs.bloom_size(100) and set(np.flatnonzero(held).tolist()) == want
+    none = df.limit(0)
+    assert codecs.bloom_filters(none).count() == 0 and codecs.bloom_probe(none, df).count() == 0
+    nulls = spark.createDataFrame([(7, None), (7, "a"), (7, "a"), (9, None)], "run_id int, k string")
+    assert [tuple(r) for r in codecs.bloom_probe(nulls, nulls).collect()] == [(7, "a", True)]
 
 
 def test_record_sources(spark, tmp_path):
