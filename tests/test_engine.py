@@ -67,6 +67,12 @@ def test_manifest_fold_where_files_share_an_id(spark, tmp_path):
     assert sorted(map(repr, map(tuple, live))) == ["(7, 0)", "(7, 2)", "(8, 1)", "(None, 3)"]
 
 
+def test_manifest_by_level_where_files_share_an_id(spark, tmp_path):
+    con = events_of_many_users(tmp_path)
+    want = dict(con.sql(catalog.ORACLE_SQL["manifest_by_level"]).fetchall())
+    assert len(want) == 3 and {r.level: r.n for r in catalog.QUERIES["manifest_by_level"](spark, str(tmp_path)).collect()} == want
+
+
 def random_log(n=400, keys=25, seed=5):
     r = random.Random(seed)
     return [(f"k{r.randrange(keys):02d}", f"v{i}", i + 1, 3 if r.random() < 0.2 else 0) for i in range(n)]
