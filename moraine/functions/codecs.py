@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
+from moraine.storage import bounded_batches
+
 #: Offset basis and prime of 64-bit FNV-1a; multiplier and shift of the seeded 64-bit hash.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 MURMUR_M, MURMUR_R = 0xC6A4A7935BD1E995, 47
@@ -118,6 +120,7 @@ def checksums(log: DataFrame) -> DataFrame:
 
 
 def zlib_roundtrip(values: DataFrame) -> DataFrame:
+    bounded_batches(values.sparkSession)
     return values.where("text is not null").select("doc_id", F.sha2(inflated(deflated("text")), 256).alias("sha"))
 
 
@@ -131,6 +134,7 @@ def saving_columns(n: str, packed: str) -> list[Column]:
 
 def compression_stats(values: DataFrame) -> DataFrame:
     """Per value: sizes before and after zlib and what that saves."""
+    bounded_batches(values.sparkSession)
     packed = values.where("text is not null").select("doc_id", "n", F.octet_length(deflated("text")).cast("long").alias("packed"))
     return packed.select("*", *saving_columns("n", "packed"))
 
