@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moraine.llm.common import Scratch, bounded_batches, free_name, materialize
@@ -183,11 +183,13 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     # the number of a node is stored with it, so it stays what it is
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "of.doc_id", "of.text_key", "n", "bands"), "nodes", scratch)
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members")).where("m > 1")
-    buckets = materialize(buckets, "buckets", scratch)
-    shared = materialize(keyed.join(buckets.select("key", "m"), "key"), "members", scratch)
+    members = (F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
+    buckets = keyed.groupBy("key").agg(*members).where("m > 1")
+    # of groups with the same members one is kept, with their number
+    buckets = materialize(buckets.groupBy("m", "members", "low", "high").agg(F.min("key").alias("key"), F.count("*").alias("times")), "buckets", scratch)
+    shared = materialize(keyed.join(buckets.select("key", "m", "times"), "key"), "members", scratch)
 
-    near = shared.groupBy("node").agg(F.sum("m").alias("near"))
+    near = shared.groupBy("node").agg(F.sum(F.col("m") * F.col("times")).alias("near"))
     centers = shared.join(near, "node").groupBy("key", "m").agg(F.max(F.struct("near", "node")).alias("center"))
     first = beside(shared, centers).where("node <> center.node").groupBy("node").agg(F.max("center").alias("c")).select("node", F.col("c.node").alias("center"))
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text"))
@@ -211,12 +213,21 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     links = materialize(pairs.select("node", "center", "text", "center_text").mapInPandas(confirm, "a long, b long"), "links", scratch)
     label = components(links, scratch)
 
-    def open_members(label: DataFrame) -> DataFrame:
-        """node, n, key, m, label of the band groups that hold several components; of groups with the same members one."""
+    def blocks(rows: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
+    def open_members(label: DataFrame, least: int) -> DataFrame:
+        """node, label, key, blocks, rest, b_top, b_rest of the members of band groups of several components and at least so many blocks.
+
+        rest: outside the largest component of the group; b_top, b_rest: the blocks of that component and of the rest.
+        """
         left = shared.join(label, "node", "left").select("node", "n", "key", "m", F.coalesce("label", "node").alias("label"))
-        open_keys = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        one_each = buckets.join(open_keys, "key").groupBy("m", "members").agg(F.min("key").alias("key")).select("key", "m")
-        return materialize(beside(left, one_each), "open", scratch)
+        held = left.groupBy("key", "m", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).groupBy("key", "m")
+        held = held.agg(F.count("*").alias("parts"), F.sum("rows").alias("rows"), F.sum("size").alias("size"), F.max(F.struct("rows", "label", "size")).alias("top"))
+        rest = blocks(F.col("rows") - F.col("top.rows"), F.col("size") - F.col("top.size"))
+        facts = held.where("parts > 1").select("key", "m", F.col("top.label").alias("top"), blocks(F.col("rows"), F.col("size")).alias("blocks"), blocks(F.col("top.rows"), F.col("top.size")).alias("b_top"), rest.alias("b_rest"))
+        found = beside(left, facts.where(F.col("blocks") >= least))
+        return materialize(found.select("node", "label", "key", "blocks", (F.col("label") != F.col("top")).alias("rest"), "b_top", "b_rest"), "open", scratch)
 
     def settle(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         if g["label"].nunique() < 2:
@@ -228,23 +239,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     def compared(inside: DataFrame) -> DataFrame:
         return materialize(inside.join(texts, "node").groupBy("key", "p", "q").applyInPandas(settle, "a long, b long"), "links", scratch)
 
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     dealt = F.xxhash64("node", F.lit(1))
-    left = open_members(label)
+    left = open_members(label, 1)
     if not left.isEmpty():
-        inside = beside(left, left.groupBy("key", "m").agg(blocks.alias("blocks"))).withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
+        inside = left.withColumn("part", F.pmod(dealt, F.col("blocks")).cast("int"))
         links = links.union(compared(inside.select("node", "label", "key", "part", F.col("part").alias("p"), F.col("part").alias("q"))))
         label = components(links, scratch)
-        left = open_members(label)  # a group of one block has been compared as a whole
-        left = beside(left, left.groupBy("key", "m").agg(blocks.alias("blocks")).where("blocks > 1"))
+        left = open_members(label, 2)  # a group of one block has been compared as a whole
     if not left.isEmpty():
-        most = left.groupBy("key", "m", "label").count().groupBy("key", "m").agg(F.max(F.struct("count", "label")).alias("top")).select("key", "m", F.col("top.label").alias("top"))
-        left = materialize(beside(left, most).select("node", "n", "key", "m", "label", (F.col("label") != F.col("top")).alias("rest")), "sides", scratch)
-        sides = left.groupBy("key", "m", "rest").agg(blocks.alias("blocks")).groupBy("key", "m")
-        sides = sides.agg(F.max(F.when(F.col("rest"), F.col("blocks"))).alias("b_rest"), F.max(F.when(~F.col("rest"), F.col("blocks"))).alias("b_top"))
         part = F.when(F.col("rest"), F.pmod(dealt, F.col("b_rest"))).otherwise(F.col("b_rest") + F.pmod(dealt, F.col("b_top"))).cast("int")
         every = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("b_rest") + F.col("b_top") - 1).otherwise(F.col("b_rest") - 1))
-        inside = beside(left, sides).withColumn("part", part).select("node", "label", "key", "part", F.explode(every).alias("other"))
+        inside = left.withColumn("part", part).select("node", "label", "key", "part", F.explode(every).alias("other"))
         links = links.union(compared(inside.select("node", "label", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))))
         label = components(links, scratch)
     named = nodes.join(label, "node", "left").select("digest", "doc_id", F.coalesce("label", "node").alias("label"))

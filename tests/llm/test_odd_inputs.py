@@ -222,6 +222,33 @@ def test_shared_ids_and_large_loose_groups(spark, monkeypatch):
     assert sorted(map(tuple, near_dedup.drop_near_duplicates(both).collect())) == [(1, "a " + " ".join(base)), (5, lone)]
 
 
+def test_members_of_band_groups_meet_facts_three_times_at_most(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 12)
+    base, r, rows = prose(150, 72).split(), random.Random(7), []
+    for i in range(50):  # a loose group, open to the end
+        words = list(base)
+        for at in r.sample(range(150), 4):
+            words[at] = r.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    for i in range(10):  # pairs that share many bands
+        rows += [(100 + i, prose(120, 80 + i)), (200 + i, prose(120, 80 + i) + " end")]
+    made, beside = [], near_dedup.beside
+
+    def counted(members, facts):
+        made.append(beside(members, facts).count())
+        return beside(members, facts)
+
+    monkeypatch.setattr(near_dedup, "beside", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(df, 3, 85).collect()} == brute_components(rows, 3, 85)
+    groups = {}
+    for i, t in rows:
+        for key in near_dedup.band_keys(near_dedup.shingles(t, 3), near_dedup.bands_for(0.85)).tolist():
+            groups.setdefault(key, set()).add(i)
+    held = [g for g in groups.values() if len(g) > 1]
+    assert made[0] == sum(map(len, set(map(frozenset, held)))) < sum(map(len, held)) and len(made) <= 3 and made[-1] > 0
+
+
 def test_cut_out_of_long_texts(spark):
     r, rows = random.Random(3), []
     for n in (0, 1, 1023, 1024, 1025, 5000):
